@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from skein.llm.licenses import op1_license_scan
+from skein.llm.packing import op6_best_fit_packing
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 SQL: dict[str, str] = {}
 
