@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from skein.llm.licenses import op1_license_scan
 from skein.llm.packing import op6_best_fit_packing
+from skein.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
 SQL: dict[str, str] = {}
