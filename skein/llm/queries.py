@@ -6,11 +6,13 @@ from skein.llm.licenses import op1_license_scan
 from skein.llm.packing import op6_best_fit_packing
 from skein.llm.quality import op10_quality_classifier
 from skein.llm.simhash import op2_simhash_near_dedup
+from skein.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {}
