@@ -5,6 +5,7 @@ from __future__ import annotations
 from skein.llm.langid import op5_language_id
 from skein.llm.licenses import op1_license_scan
 from skein.llm.packing import op6_best_fit_packing
+from skein.llm.pii import op8_pii
 from skein.llm.quality import op10_quality_classifier
 from skein.llm.simhash import op2_simhash_near_dedup
 from skein.llm.toxicity import op9_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
