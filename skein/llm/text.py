@@ -25,10 +25,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lut(chars: str | None = None, lower: bool = True) -> np.ndarray:
-    """byte -> (lower-cased) byte inside a word, 0 outside. chars: 'alnum' or 'nonspace'."""
+    """byte -> (lower-cased) byte inside a word, 0 outside. chars: 'alnum' or 'nonspace' (there byte + 1, as a zero byte is no space; UTF-8 has no byte 255)."""
     t = np.arange(256, dtype=np.uint8)
     if lower:
         t[65:91] += 32
+    if chars != "alnum":
+        t[:255] += 1
     if chars == "alnum":
         keep = np.zeros(256, bool)
         keep[48:58] = keep[65:91] = keep[97:123] = keep[128:] = True
@@ -39,7 +41,7 @@ def lut(chars: str | None = None, lower: bool = True) -> np.ndarray:
     return t
 
 
-ALNUM, NONSPACE = lut("alnum"), lut("nonspace")
+ALNUM, NONSPACE, EXACT = lut("alnum"), lut("nonspace"), lut("nonspace", lower=False)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +95,23 @@ class Words:
         h = (c[self.end] - c[self.start]) * q[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64))
 
+    def prefixes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For run_hash(): sums over the words' hashes h."""
+        p, q = _powers(len(h) + 1)
+        c = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * p[: len(h)], out=c[1:])
+        return c, q
+
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
+def run_hash(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words a..e (e exclusive) by their content."""
+    c, q = sums
+    return mix((c[e] - c[a]) * q[a] + (e - a).astype(np.uint64))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
