@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.llm.decontaminate import op3_decontamination
 from skein.llm.langid import op5_language_id
 from skein.llm.licenses import op1_license_scan
 from skein.llm.packing import op6_best_fit_packing
@@ -14,6 +15,7 @@ from skein.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,

@@ -136,3 +136,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def op2_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+    """docs, all columns, less every document whose component holds a smaller id; of rows that repeat an id one stays (null ids all stay).
+
+    Only the ids that go are shuffled against the texts; rows that repeat an id are rare, so
+    they are found by the ids alone and told apart by their content.
+    """
+    found = table(near_duplicates(docs, id_col=id_col, text_col=text_col, distance=distance).select("doc_id", "component_id"), "near")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    left = docs.join(gone, id_col, "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    repeated = left.join(again, id_col, "left_semi")
+    return left.join(again, id_col, "left_anti").select(docs.columns).union(repeated.dropDuplicates([id_col]).select(docs.columns))
