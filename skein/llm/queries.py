@@ -5,6 +5,7 @@ from __future__ import annotations
 from skein.llm.decontaminate import op3_decontamination
 from skein.llm.langid import op5_language_id
 from skein.llm.licenses import op1_license_scan
+from skein.llm.neighbours import op7_nearest_neighbours
 from skein.llm.packing import op6_best_fit_packing
 from skein.llm.pii import op8_pii
 from skein.llm.quality import op10_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
