@@ -1,0 +1,200 @@
+"""Chunks of code, embeddings, and hybrid retrieval.
+
+Searches take a small stated table of queries(query_id, text); chunks are the large side and
+never move: queries are sent to them (their number is checked), scores are cut to the first
+k within each partition of the work before they meet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skein.functions.text import keywords, truncate
+from skein.functions.vectors import cosine, hash_embedding
+
+MANY_QUERIES = 10_000
+
+
+def chunk_id(path, kind, name) -> Column:
+    return F.substring(F.md5(F.concat_ws(":", path, kind, name)), 1, 16)
+
+
+def _typed(params) -> Column:
+    return F.array_join(F.transform(params, lambda p: F.concat(p["name"], F.when(F.coalesce(p["annotation"], F.lit("")) != "", F.concat(F.lit(": "), p["annotation"])).when(p["default"].isNotNull(), F.concat(F.lit("="), p["default"])).otherwise(""))), ", ")
+
+
+def chunks(parsed: DataFrame, size: int = 1500) -> DataFrame:
+    """chunk_id, content, file_path, module_name, entity_type, entity_name, parent_name, start_line, end_line, ord."""
+    p = parsed.where("error is null")
+    top = F.filter("classes", lambda c: c["depth"] == 0)
+    funcs = F.filter("callables", lambda c: c["class_ord"].isNull())
+    names = lambda a: F.array_join(F.transform(F.slice(a, 1, 5), lambda x: x["name"]), ", ")
+    imps = F.array_distinct(F.transform("imports", lambda i: F.element_at(F.split(i["module"], r"\."), 1)))
+    body = F.concat_ws("\n", F.concat(F.lit("# Module: "), "name"), F.concat(F.lit("File: "), "file_path"), F.substring("doc", 1, 500), F.when(F.size(imps) > 0, F.concat(F.lit("Imports: "), F.array_join(F.slice(imps, 1, 10), ", "))), F.when(F.size(top) > 0, F.concat(F.lit("Classes: "), names(top))), F.when(F.size(funcs) > 0, F.concat(F.lit("Functions: "), names(funcs))))
+    none = F.lit(None).cast("string")
+    cols = lambda content, kind, name, parent, a, e, o: [content.alias("content"), F.col("file_path"), F.col("module_name"), kind.alias("entity_type"), name.alias("entity_name"), parent.alias("parent_name"), a.alias("start_line"), e.alias("end_line"), o.alias("ord")]
+    m = p.withColumn("module_name", F.col("name")).select(*cols(body, F.lit("module"), F.col("name"), none, F.lit(1), F.coalesce(F.try_element_at(top, F.lit(1))["start_line"], F.col("total_lines")), F.lit(0))).where(F.length("content") >= 50)
+    c = p.select("file_path", F.col("name").alias("module_name"), F.explode(top).alias("c"), "callables", "variables")
+    c = c.withColumn("own", F.filter("callables", lambda x: x["class_ord"] == F.col("c.ord"))).withColumn("vars", F.filter("variables", lambda x: x["class_ord"] == F.col("c.ord")))
+    text = F.concat_ws("\n", F.concat(F.lit("class "), "c.name", F.when(F.size("c.bases") > 0, F.concat(F.lit("("), F.array_join("c.bases", ", "), F.lit(")"))).otherwise("")), F.substring("c.doc", 1, 300), F.when(F.col("c.is_abstract"), "abstract"), F.when(F.col("c.is_dataclass"), "dataclass"), F.when(F.size("vars") > 0, F.concat(F.lit("Variables: "), names(F.col("vars")))), F.when(F.size("own") > 0, F.array_join(F.transform("own", lambda x: F.concat(F.lit("def "), x["name"], F.lit("("), _typed(x["params"]), F.lit(")"))), "\n")))
+    k = c.select(*cols(truncate(text, size), F.lit("class"), F.col("c.name"), none, F.col("c.start_line"), F.col("c.end_line"), F.col("c.ord") + 1))
+    each = c.where(F.size("own") > 3).select("file_path", "module_name", F.col("c.name").alias("cls"), F.explode("own").alias("x"))
+    deco = F.array_join(F.transform("x.decorators", lambda d: F.concat(F.lit("@"), d["name"])), "\n")
+    line = F.concat(F.when(F.col("x.is_async"), "async def ").otherwise("def "), F.col("x.name"), F.lit("("), _typed(F.col("x.params")), F.lit(")"))
+    mt = F.concat_ws("\n", F.concat(F.lit("Class: "), "cls"), F.nullif(deco, F.lit("")), line, F.col("x.doc"), F.when(F.col("x.is_property"), "property"), F.when(F.col("x.is_static"), "static"), F.when(F.col("x.is_classmethod"), "classmethod"), F.when(F.col("x.is_abstract"), "abstract"))
+    meth = each.select(*cols(mt, F.lit("method"), F.col("x.name"), F.col("cls"), F.col("x.start_line"), F.col("x.end_line"), F.col("x.ord") + 1))
+    f = p.select("file_path", F.col("name").alias("module_name"), F.explode(funcs).alias("x"))
+    ft = F.concat_ws("\n", line, F.when(F.coalesce(F.col("x.returns"), F.lit("")) != "", F.concat(F.lit("returns "), F.col("x.returns"))), F.substring("x.doc", 1, 200))
+    fun = f.select(*cols(ft, F.lit("function"), F.col("x.name"), none, F.col("x.start_line"), F.col("x.end_line"), F.col("x.ord") + 1))
+    out = m.unionByName(k).unionByName(meth).unionByName(fun)
+    return out.select(chunk_id("file_path", "entity_type", F.concat_ws(".", "parent_name", "entity_name")).alias("chunk_id"), "*")
+
+
+def embed(chunks_: DataFrame, embedder: Callable[[Column], Column] | None = None, col: str = "content", dimension: int = 64) -> DataFrame:
+    """Adds embedding. embedder: a Column -> Column function, such as an iterator pandas_udf around a model."""
+    return chunks_.withColumn("embedding", embedder(F.col(col)) if embedder else hash_embedding(F.col(col), dimension))
+
+
+def _sent(queries: DataFrame) -> DataFrame:
+    n = queries.limit(MANY_QUERIES + 1).count()
+    if n > MANY_QUERIES:
+        raise ValueError(f"more than {MANY_QUERIES} queries: search in blocks")
+    return F.broadcast(queries)
+
+
+def _first(scored: DataFrame, k: int, order: list) -> DataFrame:
+    """The first k of each query: first within 64 parts of the chunks, then among those."""
+    part = Window.partitionBy("query_id", "part").orderBy(*order)
+    some = scored.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("part")
+
+
+def semantic(chunks_: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """query_id, chunk_id, score, rank. chunks_: chunk_id, embedding; queries: query_id, embedding."""
+    q = _sent(queries.select("query_id", F.col("embedding").alias("qv")))
+    s = chunks_.select("chunk_id", "embedding").crossJoin(q).select("query_id", "chunk_id", cosine(F.col("embedding").cast("array<double>"), F.col("qv").cast("array<double>")).alias("score"))  # a stated query set against all rows
+    return _first(s, k, [F.desc("score"), "chunk_id"]).where(F.col("score") >= threshold)
+
+
+def keyword_score(content: Column, terms: Column) -> Column:
+    low = F.lower(content)
+    n = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(low.contains(t), (1 + n(t)) / (1 + F.size(terms))).otherwise(0.0))
+    return F.when((F.size(terms) > 0) & F.forall(terms, lambda t: low.contains(t)), total * 1.5).otherwise(total)
+
+
+def keyword(chunks_: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, chunk_id, score (at most 1), rank. queries: query_id, text."""
+    q = _sent(queries.select("query_id", keywords(F.col("text")).alias("terms")))
+    s = chunks_.select("chunk_id", "content").crossJoin(q).select("query_id", "chunk_id", keyword_score(F.col("content"), F.col("terms")).alias("score")).where("score > 0")
+    return _first(s, k, [F.desc("score"), "chunk_id"]).withColumn("score", F.least(F.lit(1.0), "score"))
+
+
+def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.7, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion; ties go to the semantic list's order, then the other's."""
+    a, b = sem.select("query_id", "chunk_id", F.col("rank").alias("r1")), kw.select("query_id", "chunk_id", F.col("rank").alias("r2"))
+    j = a.join(b, ["query_id", "chunk_id"], "full")
+    part = lambda w, r: F.coalesce(F.lit(w) / (constant + F.col(r)), F.lit(0.0))
+    j = j.withColumn("score", part(weight, "r1") + part(1 - weight, "r2"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"))
+    return j.withColumn("rank", F.row_number().over(w)).select("query_id", "chunk_id", "score", "rank")
+
+
+def rerank(found: DataFrame, chunks_: DataFrame, queries: DataFrame) -> DataFrame:
+    q = _sent(queries.select("query_id", F.lower("text").alias("q"), F.array_distinct(keywords(F.col("text"))).alias("terms")))
+    d = found.join(chunks_.select("chunk_id", "content", "entity_name"), "chunk_id").join(q, "query_id")
+    low, name = F.lower("content"), F.lower("entity_name")
+    cover = F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: low.contains(t))) / F.size("terms")).otherwise(0.0)
+    d = d.withColumn("score", F.col("score") + F.when(low.contains(F.col("q")), 0.3).otherwise(0.0) + 0.2 * cover + F.when(F.exists("terms", lambda t: name.contains(t)), 0.2).otherwise(0.0))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return d.withColumn("rank", F.row_number().over(w)).select("query_id", "chunk_id", "score", "rank")
+
+
+def hybrid(chunks_: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, weight: float = 0.7) -> DataFrame:
+    f = fuse(semantic(chunks_, queries, 2 * k, threshold), keyword(chunks_, queries, 2 * k), weight)
+    return rerank(f, chunks_, queries).where(F.col("rank") <= k)
+
+
+def contexts(found: DataFrame, chunks_: DataFrame, limit: int = 12_000) -> DataFrame:
+    """query_id, context: contents in order of rank up to limit; the last one is cut if over 200 characters are left."""
+    d = found.join(chunks_.select("chunk_id", "content"), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("end", F.sum(F.length("content")).over(w)).withColumn("left", limit - (F.col("end") - F.length("content")))
+    piece = F.when(F.col("end") <= limit, F.col("content")).when((F.col("left") > 200) & (F.col("left") <= limit), F.concat(F.expr("left(content, int(left))"), F.lit("...")))
+    g = d.withColumn("piece", piece).where("piece is not null").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "piece"))).alias("p"))  # at most k rows a query
+    return g.select("query_id", F.array_join(F.transform("p", lambda x: x["piece"]), "\n---\n").alias("context"))
+
+
+PROMPTS = {
+    "qa": "Answer the question from the code below.\n\n{context}\n\nQuestion: {question}\nAnswer:",
+    "explain": "Explain this code.\n\n{context}\n\nAsked: {question}",
+    "search": "Say where in the code below this is.\n\n{context}\n\nLooking for: {question}",
+    "summarize": "Sum up the code below.\n\n{context}\n\nFocus: {question}",
+    "bugs": "Point out faults in the code below.\n\n{context}\n\nFocus: {question}",
+    "architecture": "Describe how the code below is built.\n\n{context}\n\nFocus: {question}",
+}
+
+
+def format_prompt(kind: str, question: str, context: str) -> str:
+    return PROMPTS.get(kind, PROMPTS["qa"]).format(question=question, context=context)
+
+
+class MockModel:
+    """A model that repeats what it is asked."""
+
+    def generate(self, prompt: str, context: str = "") -> str:
+        return f"[mock] {prompt[:200]}"
+
+    def generate_stream(self, prompt: str, context: str = ""):
+        yield from (w + " " for w in self.generate(prompt, context).split())
+
+
+class Index:
+    """Chunks with embeddings, kept as Parquet if path is given; add() replaces chunks of the same id."""
+
+    def __init__(self, spark, path: str | None = None, model=None, embedder=None, dimension: int = 64):
+        self.spark, self.path, self.model, self.embedder, self.dimension = spark, path, model or MockModel(), embedder, dimension
+        self.chunks: DataFrame | None = None
+
+    def add(self, parsed: DataFrame, clear: bool = False) -> DataFrame:
+        from skein.sources.files import upsert
+
+        new = embed(chunks(parsed).dropDuplicates(["chunk_id"]), self.embedder, dimension=self.dimension)
+        if self.chunks is not None and not clear:
+            new = upsert(self.chunks, new, "chunk_id")
+        if self.path:
+            import uuid
+
+            at = f"{self.path.rstrip('/')}/{uuid.uuid4().hex}"
+            new.write.parquet(at)
+            new = self.spark.read.parquet(at)
+        else:
+            new = new.cache()
+        self.chunks = new
+        return self.stats()
+
+    def stats(self) -> DataFrame:
+        return self.chunks.groupBy("entity_type").count()
+
+    def clear(self) -> None:
+        self.chunks = None
+
+    def queries(self, *texts: str) -> DataFrame:
+        q = self.spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+        return embed(q, self.embedder, "text", self.dimension)
+
+    def search(self, text: str, k: int = 10, entity_type: str | None = None, threshold: float = 0.0) -> DataFrame:
+        c = self.chunks if entity_type is None else self.chunks.where(F.col("entity_type") == entity_type)
+        return hybrid(c, self.queries(text), k, threshold).join(c.drop("embedding"), "chunk_id").orderBy("rank")
+
+    def ask(self, question: str, kind: str = "qa", k: int = 10, threshold: float = 0.0) -> dict:
+        found = hybrid(self.chunks, self.queries(question), k, threshold)
+        got = contexts(found, self.chunks).first()
+        if got is None:
+            return {"question": question, "answer": "Nothing in the index fits this question.", "sources": []}
+        src = [r.asDict() for r in found.join(self.chunks.select("chunk_id", "file_path", "entity_name"), "chunk_id").orderBy("rank").collect()]  # at most k rows
+        return {"question": question, "answer": self.model.generate(format_prompt(kind, question, got.context)), "sources": src}
