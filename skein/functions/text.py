@@ -68,3 +68,10 @@ def is_test_path(c: Column) -> Column:
 
 def visibility(c: Column) -> Column:
     return F.when(c.startswith("__") & ~c.endswith("__"), "private").when(c.startswith("_"), "protected").otherwise("public")
+
+
+def docstring(c: Column) -> Column:
+    """struct(summary, description): the first line of the stripped text, and what follows."""
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    rest = F.regexp_replace(F.substr(t, F.length(F.substring_index(t, "\n", 1)) + 2), r"(?U)^\s+|\s+$", "")
+    return F.struct(F.substring_index(t, "\n", 1).alias("summary"), F.nullif(rest, F.lit("")).alias("description"))

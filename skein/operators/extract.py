@@ -34,9 +34,17 @@ def _rows(sources: DataFrame, fn, schema: str, many: bool = False) -> DataFrame:
     return sources.select("file_path", "content").mapInArrow(run, kind)
 
 
-def entities(sources: DataFrame) -> DataFrame:
-    """One row per file with its classes, callables, imports and variables as lists."""
-    return _rows(sources, pysource.entities, pysource.ENTITIES)
+PARSERS = {".py": pysource.entities, ".pyw": pysource.entities}
+
+
+def entities(sources: DataFrame, parsers: dict | None = None) -> DataFrame:
+    """One row per file with its classes, callables, imports and variables as lists.
+
+    parsers: extension -> function(path, text) giving a row of pysource.ENTITIES; files of
+    other extensions, and text without one, are read as Python.
+    """
+    known = PARSERS | (parsers or {})
+    return _rows(sources, lambda p, t: known.get("." + (p or "").rpartition(".")[2], pysource.entities)(p, t), pysource.ENTITIES)
 
 
 def ast_nodes(sources: DataFrame) -> DataFrame:

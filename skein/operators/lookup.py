@@ -83,6 +83,22 @@ def module_summaries(parsed: DataFrame, limit: int = 2000) -> DataFrame:
     return parsed.where("error is null").select("file_path", truncate(text, limit).alias("summary"))
 
 
+def class_summaries(members: DataFrame) -> DataFrame:
+    """file_path, name, summary: bases, flags, docstring and the first 8 methods."""
+    flags = F.concat_ws(", ", F.when(F.col("is_abstract"), "abstract"), F.when(F.col("is_dataclass"), "dataclass"))
+    head = F.concat(F.lit("Class: "), "name", F.when(F.size("bases") > 0, F.concat(F.lit("("), F.array_join("bases", ", "), F.lit(")"))).otherwise(""))
+    text = F.concat_ws("\n", head, F.nullif(flags, F.lit("")), F.substring_index("doc", "\n", 1), _list("Methods:", F.transform("methods", lambda m: m["name"]), 8))
+    return members.select("file_path", "name", text.alias("summary"))
+
+
+def function_summaries(callables: DataFrame) -> DataFrame:
+    """file_path, name, summary: signature, docstring and flags."""
+    typed = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["annotation"]), F.lit("")))), ", ")
+    head = F.concat(F.when(F.col("is_async"), "async ").otherwise(""), F.lit("def "), "name", F.lit("("), typed, F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), "returns"), F.lit("")))
+    text = F.concat_ws("\n", head, F.substring_index("doc", "\n", 1), F.when(F.col("is_generator"), "generator"))
+    return callables.where("class_ord is null").select("file_path", "name", text.alias("summary"))
+
+
 def project_summary(parsed: DataFrame) -> DataFrame:
     """One row of totals, with the first 20 modules and 10 classes by path."""
     p = parsed.where("error is null")

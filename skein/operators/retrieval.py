@@ -94,6 +94,13 @@ def keyword(chunks_: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return _first(s, k, [F.desc("score"), "chunk_id"]).withColumn("score", F.least(F.lit(1.0), "score"))
 
 
+def inverted_index(chunks_: DataFrame) -> DataFrame:
+    """term, chunk_id, tf: the share of a chunk's terms."""
+    w = keywords(F.col("content"))
+    t = chunks_.select("chunk_id", F.size(w).alias("n"), F.explode(w).alias("term"))
+    return t.groupBy("term", "chunk_id").agg((F.count("*") / F.first("n")).alias("tf"))
+
+
 def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.7, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion; ties go to the semantic list's order, then the other's."""
     a, b = sem.select("query_id", "chunk_id", F.col("rank").alias("r1")), kw.select("query_id", "chunk_id", F.col("rank").alias("r2"))

@@ -486,6 +486,75 @@ def _(spark, sf):
     return retrieval.contexts(c.select("query_id", "chunk_id", "rank"), c.select("chunk_id", "content"), 900).select("query_id", F.md5("context").alias("context"))
 
 
+@query("t6_inverted_index", f"""
+    WITH w AS (SELECT CAST(turn AS VARCHAR) || ':' || conv_id AS chunk_id, {WORDS.format('text', STOPS)} AS w FROM conversations), x AS (SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM w)
+    SELECT term, chunk_id, floor(count(*) / n::DOUBLE * 1e6 + 0.5) / 1e6 AS tf FROM x GROUP BY term, chunk_id, n""")
+def _(spark, sf):
+    d = read(spark, sf, "conversations").select(F.concat(F.col("turn").cast("string"), F.lit(":"), "conv_id").alias("chunk_id"), F.col("text").alias("content"))
+    return retrieval.inverted_index(d).select("term", "chunk_id", _r("tf", "tf"))
+
+
+@query("t8_rerank", f"""
+    WITH {KEYWORD}, u AS (SELECT query_id, list_distinct(terms) AS terms FROM q), b AS (SELECT item_id AS query_id, lower(text) AS qt FROM benchmark),
+    r AS (SELECT kw.query_id, kw.chunk_id, kw.rank, least(1, kw.score) + CASE WHEN contains(d.low, b.qt) THEN 0.3 ELSE 0 END::DOUBLE
+          + 0.2::DOUBLE * coalesce(len(list_filter(u.terms, lambda t: contains(d.low, t))) / nullif(len(u.terms), 0)::DOUBLE, 0) AS score
+          FROM kw JOIN d USING (chunk_id) JOIN u USING (query_id) JOIN b USING (query_id) WHERE kw.rank <= 10)
+    SELECT query_id, chunk_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM r""")
+def _(spark, sf):
+    d = read(spark, sf, "conversations").select(F.concat(F.col("turn").cast("string"), F.lit(":"), "conv_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("").alias("entity_name"))
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.rerank(retrieval.keyword(d, q, 10), d, q).select("query_id", "chunk_id", _r("score", "score"))
+
+
+@query("t9_hybrid")
+def _(spark, sf):
+    d = retrieval.embed(read(spark, sf, "conversations").select(F.concat(F.col("turn").cast("string"), F.lit(":"), "conv_id").alias("chunk_id"), F.col("text").alias("content"), F.col("role").alias("entity_name")))
+    q = retrieval.embed(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), col="text")
+    return retrieval.hybrid(d, q, threshold=0.0).select("query_id", "chunk_id", "rank", _r("score", "score"))
+
+
+@query("x8_decorators", """
+    SELECT s_suppkey AS file_key, 'get_instance' AS name, 'classmethod' AS decorator FROM supplier WHERE s_suppkey % 6 = 0
+    UNION ALL SELECT s_suppkey, 'run', 'abstractmethod' FROM supplier WHERE s_suppkey % 6 = 3""")
+def _(spark, sf):
+    c = extract.callables(extract.entities(synth.supplier_patterns(spark, sf)))
+    return c.select(KEY.alias("file_key"), "name", F.explode("decorators").alias("d")).select("file_key", "name", F.col("d.name").alias("decorator"))
+
+
+@query("x9_docstrings", r"""
+    WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS t FROM documents)
+    SELECT doc_id, md5(split_part(t, chr(10), 1)) AS summary, md5(nullif(regexp_replace(substr(t, length(split_part(t, chr(10), 1)) + 2), '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g'), '')) AS description FROM t""")
+def _(spark, sf):
+    d = T.docstring(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(d["summary"]).alias("summary"), F.md5(d["description"]).alias("description"))
+
+
+@query("q5_list_abstract", """
+    SELECT 'class' AS kind, 'RunStrategy' AS name, CAST(s_suppkey AS VARCHAR) AS file_path FROM supplier WHERE s_suppkey % 6 = 3
+    UNION ALL SELECT 'method', 'RunStrategy.run', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 6 = 3""")
+def _(spark, sf):
+    p = extract.entities(synth.supplier_patterns(spark, sf))
+    return lookup.ask("list all abstract classes", extract.classes(p), extract.callables(p), extract.imports(p)).select("kind", "name", "file_path")
+
+
+@query("r2_class_summaries", f"""
+    SELECT {PATH} AS file_path, 'Class: C' || s_suppkey || '(Base' || (s_nationkey % 3) || ')' || chr(10) || 'Doc.' || CASE WHEN s_nationkey > 0 THEN chr(10) || 'Methods:' || chr(10)
+           || array_to_string(list_transform(range(0, least(8, s_nationkey)), lambda i: '  - get_m' || i), chr(10)) ELSE '' END || CASE WHEN s_nationkey > 8 THEN chr(10) || '  ... and ' || (s_nationkey - 8) || ' more' ELSE '' END AS summary FROM supplier""")
+def _(spark, sf):
+    return lookup.class_summaries(extract.class_members(_suppliers(spark, sf))).select("file_path", "summary")
+
+
+@query("r2_function_summaries", f"SELECT {PATH} AS file_path, 'async def fetch_' || s_suppkey || '(p, q, r, s: str, t) -> C' || s_suppkey || chr(10) || 'generator' AS summary FROM supplier")
+def _(spark, sf):
+    return lookup.function_summaries(extract.callables(_suppliers(spark, sf))).select("file_path", "summary")
+
+
+@query("g8_successors", "SELECT 'n' || n_nationkey || '.py:n' || n_nationkey AS node, count(s_suppkey) AS callers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+def _(spark, sf):
+    e = graph.call_edges(extract.callables(extract.entities(synth.supplier_calls(spark, sf))))
+    return e.where("dst not like 'external.%'").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("callers"))
+
+
 # scalar helpers
 @query("n1_normalize_whitespace", r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))) AS digest FROM documents")
 def _(spark, sf):

@@ -53,3 +53,15 @@ def test_stream(spark, tmp_path):
     q = reindex.watch(reindex.source_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [r.call for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["eval"]
+
+
+def test_driver_helpers():
+    from skein.functions.driver import parallel_map, timed_cache, timer
+
+    calls = []
+    f = timed_cache(60)(lambda x: calls.append(x) or x)
+    assert f(1) == f(1) == 1 and calls == [1]
+    assert parallel_map(lambda x: 1 // x, [1, 0, 2]) == [1, None, 0]
+    with timer("t") as t:
+        pass
+    assert t["seconds"] >= 0
