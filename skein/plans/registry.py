@@ -34,7 +34,8 @@ def _r(c, name=None):
     return (F.floor(c * 1e6 + 0.5) / 1e6).alias(name) if name else F.floor(c * 1e6 + 0.5) / 1e6
 
 
-KEY = F.col("file_path").cast("long")
+def _key(name):
+    return F.col("file_path").cast("long").alias(name)
 
 
 # metrics
@@ -43,7 +44,7 @@ KEY = F.col("file_path").cast("long")
            CAST(c_nationkey % 5 + 1 AS BIGINT) AS max_nesting, 'A' AS rating FROM customer""")
 def _(spark, sf):
     m = metrics.complexity(extract.ast_nodes(synth.nested_ifs(spark, sf)))
-    return m.select(KEY.alias("file_key"), F.col("cyclomatic").cast("long").alias("cyclomatic"), "cognitive", "max_nesting", "rating")
+    return m.select(_key("file_key"), F.col("cyclomatic").cast("long").alias("cyclomatic"), "cognitive", "max_nesting", "rating")
 
 
 @query("m6_m8_loc", """
@@ -51,7 +52,7 @@ def _(spark, sf):
            CAST(p_size % 7 + 1 AS BIGINT) AS comments, (p_size % 7 + 1) / 2.0::DOUBLE AS comment_ratio FROM part""")
 def _(spark, sf):
     d = metrics.loc(extract.line_counts(synth.remarks(spark, sf)))
-    return d.select(KEY.alias("file_key"), "total", "blank", "source", "comments", "comment_ratio")
+    return d.select(_key("file_key"), "total", "blank", "source", "comments", "comment_ratio")
 
 
 HAL = "SELECT p_partkey AS file_key, CAST(p_size % 10 + 1 AS BIGINT) AS n FROM part"
@@ -62,7 +63,7 @@ HAL = "SELECT p_partkey AS file_key, CAST(p_size % 10 + 1 AS BIGINT) AS n FROM p
            floor(5 * n * log2(5::DOUBLE) * 1e6 + 0.5) / 1e6 AS volume, floor(1.0::DOUBLE * n * 1e6 + 0.5) / 1e6 AS difficulty, floor(5 * n * log2(5::DOUBLE) / 3000 * 1e6 + 0.5) / 1e6 AS bugs FROM ({HAL})""")
 def _(spark, sf):
     h = metrics.halstead(extract.ast_nodes(synth.sums(spark, sf)))
-    return h.select(KEY.alias("file_key"), "n1", "n2", F.col("operators").alias("total_operators"), F.col("operands").alias("total_operands"), _r("volume", "volume"), _r("difficulty", "difficulty"), _r("bugs", "bugs"))
+    return h.select(_key("file_key"), "n1", "n2", F.col("operators").alias("total_operators"), F.col("operands").alias("total_operands"), _r("volume", "volume"), _r("difficulty", "difficulty"), _r("bugs", "bugs"))
 
 
 MI = "(171 - 5.2::DOUBLE * ln(5 * n * log2(5::DOUBLE)) - 0.23::DOUBLE - 16.2::DOUBLE * ln(n::DOUBLE)) * 100 / 171"
@@ -75,7 +76,7 @@ def _(spark, sf):
     s = synth.sums(spark, sf)
     n = extract.ast_nodes(s)
     m = metrics.maintainability(metrics.complexity(n), metrics.loc(extract.line_counts(s)), metrics.halstead(n))
-    return m.select(KEY.alias("file_key"), _r("maintainability", "maintainability"), "rating")
+    return m.select(_key("file_key"), _r("maintainability", "maintainability"), "rating")
 
 
 @query("m13_quality", f"""
@@ -85,7 +86,7 @@ def _(spark, sf):
     s = synth.sums(spark, sf)
     n = extract.ast_nodes(s)
     m = metrics.maintainability(metrics.complexity(n), metrics.loc(extract.line_counts(s)), metrics.halstead(n))
-    return metrics.quality(m).select(KEY.alias("file_key"), "score")
+    return metrics.quality(m).select(_key("file_key"), "score")
 
 
 @query("m14_project_metrics", f"""
@@ -151,7 +152,7 @@ def _(spark, sf):
     FROM supplier WHERE s_suppkey % 6 <> 5""")
 def _(spark, sf):
     m = extract.class_members(extract.entities(synth.supplier_patterns(spark, sf)))
-    return patterns.design_patterns(m).select(KEY.alias("file_key"), "pattern", _r("confidence", "confidence"))
+    return patterns.design_patterns(m).select(_key("file_key"), "pattern", _r("confidence", "confidence"))
 
 
 @query("a1_a4_anti_patterns", f"""
@@ -168,7 +169,7 @@ def _(spark, sf):
     UNION ALL SELECT c_custkey, 'mutable_default' FROM customer WHERE c_custkey % 6 = 3""")
 def _(spark, sf):
     p = extract.entities(synth.customer_notes(spark, sf))
-    return patterns.entity_smells(p, extract.class_members(p), extract.callables(p)).select(KEY.alias("file_key"), "kind")
+    return patterns.entity_smells(p, extract.class_members(p), extract.callables(p)).select(_key("file_key"), "kind")
 
 
 @query("l5_l9_node_smells", """
@@ -176,7 +177,7 @@ def _(spark, sf):
     UNION ALL SELECT c_custkey, 'bare_except', 3 FROM customer WHERE c_custkey % 6 = 4
     UNION ALL SELECT c_custkey, 'magic_number', 3 FROM customer WHERE c_custkey % 6 = 5""")
 def _(spark, sf):
-    return patterns.node_smells(extract.ast_nodes(synth.customer_notes(spark, sf))).select(KEY.alias("file_key"), "kind", F.col("line").cast("long").alias("line"))
+    return patterns.node_smells(extract.ast_nodes(synth.customer_notes(spark, sf))).select(_key("file_key"), "kind", F.col("line").cast("long").alias("line"))
 
 
 @query("l10_commented_code", r"""
@@ -196,7 +197,7 @@ def _(spark, sf):
     s = synth.customer_notes(spark, sf)
     p = extract.entities(s)
     d = findings.dead_code(p, extract.imports(p), extract.callables(p), extract.ast_nodes(s))
-    return d.select(KEY.alias("file_key"), "kind", "name", F.col("line").cast("long").alias("line"), "confidence")
+    return d.select(_key("file_key"), "kind", "name", F.col("line").cast("long").alias("line"), "confidence")
 
 
 @query("u1_u5_duplicates", "SELECT count(*) AS n_blocks, CAST(p_size + 1 AS BIGINT) AS line_count FROM part WHERE p_size >= 4 GROUP BY p_size HAVING count(*) > 1")
@@ -217,20 +218,20 @@ def _(spark, sf):
     FROM orders WHERE o_orderkey % 8 NOT IN (5, 7)""")
 def _(spark, sf):
     c = extract.callables(extract.entities(synth.order_calls(spark, sf)))
-    return findings.call_vulnerabilities(c).select(KEY.alias("file_key"), "call", "cwe", "severity")
+    return findings.call_vulnerabilities(c).select(_key("file_key"), "call", "cwe", "severity")
 
 
 @query("v5_v9_node_vulnerabilities", """
     SELECT o_orderkey AS file_key, CASE WHEN o_orderkey % 8 = 7 THEN 'unsafe_yaml' ELSE 'code_injection' END AS kind, 'high' AS severity, CAST(2 AS BIGINT) AS line FROM orders WHERE o_orderkey % 8 IN (0, 6, 7)""")
 def _(spark, sf):
     d = findings.node_vulnerabilities(extract.ast_nodes(synth.order_calls(spark, sf)))
-    return d.select(KEY.alias("file_key"), "kind", "severity", F.col("line").cast("long").alias("line"))
+    return d.select(_key("file_key"), "kind", "severity", F.col("line").cast("long").alias("line"))
 
 
 @query("v12_secrets", "SELECT c_custkey AS file_key, 'PASSWORD' AS name, 'password' AS secret_type, CAST(1 AS BIGINT) AS line_number FROM customer WHERE c_custkey % 6 = 0")
 def _(spark, sf):
     d = findings.secrets(extract.variables(extract.entities(synth.customer_notes(spark, sf))))
-    return d.select(KEY.alias("file_key"), "name", "secret_type", F.col("line_number").cast("long").alias("line_number"))
+    return d.select(_key("file_key"), "name", "secret_type", F.col("line_number").cast("long").alias("line_number"))
 
 
 # graphs
@@ -518,7 +519,7 @@ def _(spark, sf):
     UNION ALL SELECT s_suppkey, 'run', 'abstractmethod' FROM supplier WHERE s_suppkey % 6 = 3""")
 def _(spark, sf):
     c = extract.callables(extract.entities(synth.supplier_patterns(spark, sf)))
-    return c.select(KEY.alias("file_key"), "name", F.explode("decorators").alias("d")).select("file_key", "name", F.col("d.name").alias("decorator"))
+    return c.select(_key("file_key"), "name", F.explode("decorators").alias("d")).select("file_key", "name", F.col("d.name").alias("decorator"))
 
 
 @query("x9_docstrings", r"""
