@@ -8,15 +8,24 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = str(8 << 20)
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and keep their memory low.
 
-    On a cluster without a shared code folder, ship the package with --py-files instead.
+    On a cluster without a shared code folder, ship the package with --py-files instead. Arrow
+    batches of whole texts are kept at BATCH bytes where the session has Spark's default, and
+    workers' allocators give freed memory back: several operators may run in one worker.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(16 << 20))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
