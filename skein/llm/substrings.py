@@ -152,7 +152,7 @@ def _settle(filed: DataFrame) -> DataFrame:
 
 def _words_of(open_runs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Adds each open run's word hashes."""
-    asked = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("low", "start", "count")).alias("runs"))  # bounded by the document's own length
+    asked = open_runs.groupBy("doc_id").agg(F.collect_set(F.struct("low", "start", "count")).alias("runs"))  # bounded by the document's own length
 
     def run(it):
         for b, buf, off in batches(it, "text"):
@@ -262,7 +262,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size
     cover = found[0]
     for f in found[1:]:
         cover = cover.union(f)
-    cover = cover.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("cover"))  # bounded by the document's own length
+    cover = cover.groupBy("doc_id").agg(F.collect_set(F.struct("start", "count")).alias("cover"))  # bounded by the document's own length
 
     def run(it):
         for b, buf, off in batches(it, "text"):
