@@ -23,8 +23,8 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
     env.setdefault("MALLOC_ARENA_MAX", "1")
-    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(16 << 20))
-    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(64 << 20))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(32 << 20))
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
