@@ -250,11 +250,14 @@ def _search_hot(hot_words: DataFrame, size: int) -> DataFrame:
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, chunk: int = CHUNK, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """One row per input row: n_words, n_removed, kept_sha256, and kept_text if asked for."""
     ready(df.sparkSession)
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    if (id_col, text_col, df.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
+        docs = df.select("doc_id", "text")  # without aliases both uses of the exchange below have one plan
+    else:
+        docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     settled = table(_settle(_file(docs.where("doc_id is not null"), size)), "runs")
     open_runs = settled.where("kind = 1").select("low", "doc_id", "start", "count").distinct()
     many = open_runs.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("low")
-    placed = docs.repartition("doc_id")  # used twice, made once
+    placed = docs.where("doc_id is not null").repartition("doc_id")  # both joins read one exchange: the filter is the same for both
     cool = _words_of(open_runs.join(many, "low", "left_anti"), placed, size)
     found = [settled.where("kind = 2").select("doc_id", "start", "count"), _search(cool, size, chunk)]
     if not many.isEmpty():
@@ -288,7 +291,8 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size
             cols = [b.column(0), pa.array(w.n.astype(np.int64)), pa.array(removed), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * keep_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
-    return placed.join(cover, "doc_id", "left").select("doc_id", "text", "cover").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(cover.schema["cover"].dataType).alias("cover"))
+    return placed.join(cover, "doc_id", "left").select("doc_id", "text", "cover").union(rest).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def op4_substring_dedup(spark, sf_dir):
