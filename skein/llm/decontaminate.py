@@ -8,6 +8,8 @@
    scaled to unit variance (else what most texts share would outweigh what tells them apart).
    Pairs whose cosine is at least `cosine` are candidates. All passages meet all items, as a product of
    two small matrices for each piece of input; items are a stated query set, taken in blocks.
+   Places where `answer` of an item's answer stands are candidates whatever their cosine, so that
+   nothing is lost that the proof would accept.
 4. Proof: the longest common subsequence of the item's words and those about the passage must
    hold `common` of the item, and of the item's answer, its most telling words, `answer` must
    be there. So a copy with words changed, left out or put in is found; chance likeness is not.
@@ -130,8 +132,7 @@ def basis(docs: DataFrame, items: Items, rank: int = RANK, block: int = 128) ->
         vocab, Y = Vocabulary(hashes), np.zeros((V, r), np.float64)
         for _, buf, off in batches(it, "text"):
             _, ids, piece, row, _ = _tokens(Words(buf, off, ALNUM), vocab, PASSAGE)
-            live = idf[ids] > 0
-            add(Y, ids[live], piece[live], len(row))
+            add(Y, ids, piece, len(row))
         for k in range(0, V, block):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([Y[k : k + block].tobytes()], pa.binary())], ["k", "y"])
 
@@ -183,27 +184,72 @@ class Search:
             for i, k in enumerate(x):
                 m[k] = m.get(k, 0) | 1 << i
             self.masks.append(m)
+        # answer word -> (item, place), sorted by word
+        post = sorted((x, k, i) for k, own in enumerate(items.items) for i, x in enumerate(own) if x in items.answer[k])
+        self.post = np.array(post, np.int64).reshape(-1, 3)
+        self.size = np.array([len(x) for x in items.items], np.int64)
+        self.least = np.array([max(1, int(np.ceil(answer * len(x) - 1e-9))) for x in items.answer], np.int64)
+
+    def telling(self, w: Words, ids: np.ndarray, half: int) -> np.ndarray:
+        """Numbers piece * items + item of all places where enough of an item's answer stands, whatever the cosine.
+
+        Each answer word puts the item's start where the word's place in the item says. What the
+        proof asks of the answer is a condition here, so nothing it would accept is left out.
+        """
+        K, N = len(self.size), len(ids) + 1
+        pieces = -(-w.n // half)
+        base = np.cumsum(pieces) - pieces
+        at = np.flatnonzero(ids >= 0)
+        at = at[np.argsort(ids[at], kind="stable")]
+        own = ids[at]
+        lo, hi = np.searchsorted(own, self.post[:, 0]), np.searchsorted(own, self.post[:, 0], side="right")
+        order = np.argsort(self.post[:, 1], kind="stable")
+        post, lo, n = self.post[order], lo[order], (hi - lo)[order]
+        out, done = [], 0
+        ends = np.flatnonzero(np.append(post[1:, 1] != post[:-1, 1], True)) + 1  # where items end
+        total = np.concatenate([[0], np.cumsum(n)])
+        while done < len(post):  # some items at a time, so that memory stays bounded
+            end = int(ends[np.searchsorted(ends, done, side="right")])
+            end = max(end, int(ends[max(0, np.searchsorted(total[ends], total[done] + (1 << 20), side="right") - 1)]))
+            m = n[done:end]
+            k, i = np.repeat(post[done:end, 1], m), np.repeat(post[done:end, 2], m)
+            t = at[np.repeat(lo[done:end] - total[done:end] + total[done], m) + np.arange(len(k))]
+            done = end
+            if not len(k):
+                continue
+            places = np.unique(k * N + t)
+            r = np.searchsorted(w.first, t, side="right") - 1
+            found = np.unique((base[r] + np.maximum(t - w.first[r] - i, 0) // half) * K + k)
+            piece, k = found // K, found % K
+            r = np.searchsorted(base, piece, side="right") - 1
+            a, e = self.window((piece - base[r]) * half, self.size[k], w.n[r])
+            n_in = np.searchsorted(places, k * N + w.first[r] + e) - np.searchsorted(places, k * N + w.first[r] + a)
+            out.append(found[n_in >= self.least[k]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    @staticmethod
+    def window(start, size, n):
+        """The words about a passage that are held against an item of `size` words."""
+        return np.maximum(0, start - size // 2 - 8), np.minimum(n, start + PASSAGE + size + 8)
 
     def rows(self, buf, off) -> list[tuple[int, int, float, float, float, int]]:
         """(row, item, overlap, answer share, cosine, start word): the best place of each item found in each row."""
         half = PASSAGE // 2
         w = Words(buf, off, ALNUM)
         ids, tok, piece, row, start = _tokens(w, self.vocab, half)
-        live = self.items.idf[tok] > 0
-        tok, piece = tok[live], piece[live]
         if not len(tok):
             return []
         p = _sum_rows(self.E[tok], piece, len(row))
         p[:-1] += np.where((row[1:] == row[:-1])[:, None], p[1:], 0)  # a half and the next
         norm = np.linalg.norm(p, axis=1)
         sim = (p @ self.q.T) / np.maximum(norm, 1e-9)[:, None]
-        ps, qs = np.nonzero(sim >= self.cosine)
+        K = len(self.size)
+        ps, qs = np.divmod(np.union1d(np.flatnonzero(sim >= self.cosine), self.telling(w, ids, half)), K)
         best: dict[tuple[int, int], tuple] = {}
         idf, sets = self.items.idf.tolist(), {}
         for a, k in zip(ps.tolist(), qs.tolist()):
             r, item = int(row[a]), self.items.items[k]
-            lo = max(0, int(start[a]) - len(item) // 2 - 8)
-            hi = min(int(w.n[r]), int(start[a]) + PASSAGE + len(item) + 8)
+            lo, hi = map(int, self.window(start[a], len(item), w.n[r]))
             at = (r, lo, hi)
             if at not in sets:
                 x = ids[w.first[r] + lo : w.first[r] + hi].tolist()

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -90,3 +91,18 @@ def test_empty_tables(spark):
     assert leaks(docs, bench.where("false")).count() == 0 and clean(docs, bench.where("false")).count() == docs.count()
     assert leaks(docs.where("false"), bench).count() == 0 and clean(docs.where("false"), bench).count() == 0
     assert Search is not None
+
+
+def test_every_verbatim_item_is_found(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + " "
+    items = [(r.item_id, words(r.text)) for r in bench.collect()]
+    want = {(r.doc_id, k) for r in docs.collect() for t in [words(r.text)] for k, x in items if x.count(" ") > 5 and x in t}
+    assert len(want) > 200
+    assert want <= {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+
+
+def test_no_cosine_is_needed(spark):
+    docs, bench, _ = made(spark, 8)
+    pairs = lambda cosine: {(r.doc_id, r.item_id) for r in leaks(docs, bench, cosine=cosine).collect()}
+    assert pairs(-1.0) == pairs(2.0) == pairs(0.4)
