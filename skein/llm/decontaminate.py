@@ -54,8 +54,7 @@ class Items:
         self.hashes = hash_words(self.words, ALNUM) if self.words else np.zeros(0, np.uint64)
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        self.idf = np.log((n + 1) / (df + 1))
-        self.idf[df > 0.1 * n] = 0  # words of a tenth of all documents tell nothing
+        self.idf = np.log1p((n + 1) / (df + 1))  # above zero for every word: an item that many documents hold keeps its vector
         self.answer = []
         for x in self.items:
             u = sorted(set(x), key=lambda k: (-self.idf[k], k))
@@ -149,11 +148,17 @@ def basis(docs: DataFrame, items: Items, rank: int = RANK, block: int = 128) ->
         Y[p.k : p.k + block] += np.frombuffer(p.y).reshape(-1, r)
     own = items.rows()
     add(Y, np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own))
-    Q, R = np.linalg.qr(Y)
-    C = W.T @ Y
-    M = R @ np.linalg.pinv((C + C.T) / 2) @ R.T  # A'A is nearly Q M Q'
-    squares, U = np.linalg.eigh((M + M.T) / 2)
-    return (Q @ U / np.sqrt(np.maximum(squares, squares.max() * 1e-6 + 1e-12))).astype(np.float32)
+    # A'A is nearly Y (W'Y)^-1 Y'; a shift above the rounding of single precision keeps the inverse stable
+    shift = np.finfo(np.float32).eps * np.sqrt(V) * np.linalg.norm(Y)
+    Y += shift * W
+    C = W.T.astype(float) @ Y
+    c, U = np.linalg.eigh((C + C.T) / 2)
+    some = c > c.max() * 1e-14
+    Q, s, _ = np.linalg.svd(Y @ (U[:, some] / np.sqrt(c[some])), full_matrices=False)
+    squares = np.maximum(s * s - shift, 0)
+    out = np.zeros((V, r), np.float32)  # the leading ones last
+    out[:, r - len(s) :] = (Q / np.sqrt(np.maximum(squares, squares.max() * 1e-6 + 1e-12)))[:, ::-1]
+    return out
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:

@@ -106,3 +106,35 @@ def test_no_cosine_is_needed(spark):
     docs, bench, _ = made(spark, 8)
     pairs = lambda cosine: {(r.doc_id, r.item_id) for r in leaks(docs, bench, cosine=cosine).collect()}
     assert pairs(-1.0) == pairs(2.0) == pairs(0.4)
+
+
+def test_item_in_a_third_of_the_rows(spark):
+    docs, bench, _ = made(spark, 4)
+    item = bench.where("item_id = 5").first().text.split()
+    rng = random.Random(6)
+    rows = [(k, r.text.split()) for k, r in enumerate(docs.where("doc_id < 260").collect())]
+    hot, want = [], set()
+    for k, w in rows:
+        if k % 3 == 0:
+            own, at = list(item), rng.randrange(len(w))
+            if k % 2:
+                own.pop(rng.randrange(len(own)))
+                own[rng.randrange(len(own))] = "the"
+            w[at:at] = own
+            want.add(k)
+        hot.append((k, " ".join(w)))
+    hot = spark.createDataFrame(hot, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in leaks(hot, bench).where("item_id = 5").collect()}
+    assert want <= got
+    assert not want & {r.doc_id for r in clean(hot, bench).collect()}
+    # and with nothing else in any row, so that its words are in all documents
+    all_ = spark.createDataFrame([(k, " ".join(item)) for k in range(30)], "doc_id long, text string")
+    assert leaks(all_, bench).where("item_id = 5").count() == 30 and clean(all_, bench).count() == 0
+
+
+def test_five_documents(spark):
+    docs, bench, want = made(spark, 3)
+    k, item = min((k, d) for d, k in want if d % 8)
+    few = docs.where(f"doc_id in ({item}, 1, 2, 3, 5)").dropDuplicates(["doc_id"])
+    assert few.count() == 5
+    assert {(r.doc_id, r.item_id) for r in leaks(few, bench).collect()} == {(item, k)}
