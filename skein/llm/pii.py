@@ -8,9 +8,10 @@ its left, the token on either side, and the left token with the instance's shape
 and tokens of 16 or more hexadecimal digits are seeds. Over the graph of patterns and
 instances, Spark iterates: a pattern is as good as the mean confidence of the different
 instances it holds (smoothed), an instance as certain as the chance that not all of its
-patterns err. Patterns that score at least `threshold` and hold at least the share `support`
-of all different seeds are kept: at most 3 / support x (instances / seeds) of them, so the
-list can be sent to all tasks. Instances in kept patterns become spans of kind `id`.
+patterns err. Patterns that score at least `threshold` and hold at least `least` different
+instances are kept, at every size of the corpus. Up to SEND of them go to all tasks as a list;
+more stay a table, and candidates meet it by a join on the pattern's hash. Instances in kept
+patterns become spans of kind `id`.
 
 Defined results: null text counts as empty; base spans always stay; an instance that overlaps
 a base span is no span of its own; a span is [start, end) in code points; repeated rows are
@@ -42,6 +43,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{16,}")
 _CONTEXT = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
+SEND = 100_000  # patterns sent to all tasks at most
 SIDE = 48  # characters of context on either side; a token cut by this bound is read as cut
 
 
@@ -140,14 +142,12 @@ def instances(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, instance long, seed boolean").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def learn(docs: DataFrame, *, rounds: int = 3, threshold: float = 0.7, support: float = 0.002, least: int = 3) -> list[str]:
-    """Patterns worth trusting."""
+def learn(docs: DataFrame, *, rounds: int = 3, threshold: float = 0.7, least: int = 3, send: int = SEND) -> list[str] | DataFrame:
+    """Patterns worth trusting: a list, or a table (column pattern) if there are more than `send`."""
     ready(docs.sparkSession)
     links = table(instances(docs), "links")
-    seeds = links.where("seed").agg(F.count_distinct("instance")).first()[0]
-    need = max(least, support * seeds)
     # a pattern with too few instances can't be kept: drop it before it is weighed
-    big = links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    big = links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     held = table(links.join(big, "pattern").select("pattern", "instance", F.col("seed").cast("double").alias("sure"), "n"), "held")
     drop_table(links)
     now = held
@@ -158,26 +158,61 @@ def learn(docs: DataFrame, *, rounds: int = 3, threshold: float = 0.7, support:
         linked = held.join(score, "pattern")
         sure = linked.groupBy("instance").agg(F.greatest(F.max("sure"), 1 - F.exp(F.sum(F.log(1 - F.least(0.9 * F.col("score"), F.lit(0.99)))))).alias("sure"))
         now = held.drop("sure").join(sure, "instance")
-    kept = [r.pattern for r in score.where(F.col("score") >= threshold).orderBy("pattern").collect()]  # bounded by `support`
+    kept = table(score.where(F.col("score") >= threshold).select("pattern"), "patterns")
     drop_table(held)
-    return kept
+    if kept.count() > send:
+        return kept
+    sent = [r.pattern for r in kept.orderBy("pattern").collect()]  # at most `send`
+    drop_table(kept)
+    return sent
 
 
-def all_spans(t: str, kept: frozenset) -> list[tuple[str, int, int]]:
+def number(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _marked(docs: DataFrame, kept: list[str] | DataFrame, text_col: str) -> tuple[DataFrame, frozenset, str | None]:
+    """docs, the patterns to send, and the column of each row's kept patterns' numbers if they are too many to send."""
+    if not isinstance(kept, DataFrame):
+        return docs, frozenset(kept), None
+
+    def run(it):
+        for b in it:
+            key, pat = [], []
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+            for i, t in rows(b.column(0)):
+                own = {number(p) for a, e in candidates(t, base_spans(t)) for p in patterns(t, a, e)}
+                key += [keys[i]] * len(own)
+                pat += own
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), pa.array(pat, pa.int64())], ["_a", "_b", "p"])
+
+    def numbers(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([number(p) for p in b.column(0).to_pylist()], pa.int64())], ["p"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(F.lit(1), text))
+    met = named.select(text_col, "_a", "_b").mapInArrow(run, "_a long, _b long, p long").distinct().join(kept.select("pattern").mapInArrow(numbers, "p long").distinct(), "p")
+    known = met.groupBy("_a", "_b").agg(F.collect_list("p").alias("_known"))  # one text's own patterns
+    return named.join(known, ["_a", "_b"], "left").drop("_a", "_b"), frozenset(), "_known"
+
+
+def all_spans(t: str, kept: frozenset, by=None) -> list[tuple[str, int, int]]:
+    """Base spans, then candidates in kept patterns (these, or their numbers where by is number())."""
     base = base_spans(t)
     if not kept:
         return base
-    return base + [("id", a, e) for a, e in candidates(t, base) if not kept.isdisjoint(patterns(t, a, e))]
+    return base + [("id", a, e) for a, e in candidates(t, base) if not kept.isdisjoint(patterns(t, a, e) if by is None else map(by, patterns(t, a, e)))]
 
 
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
 
 
-def find(docs: DataFrame, kept: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, kept: list[str] | DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: counts by kind, digest of the base spans, and all spans."""
     ready(docs.sparkSession)
-    known = frozenset(kept)
+    d, known, own = _marked(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), kept, "text")
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(it):
@@ -185,7 +220,7 @@ def find(docs: DataFrame, kept: list[str], *, id_col: str = "doc_id", text_col:
             n = np.zeros((4, b.num_rows), np.int64)
             sha, spans = [empty] * b.num_rows, [""] * b.num_rows
             for i, t in rows(b.column(1)):
-                found = all_spans(t, known)
+                found = all_spans(t, known) if own is None else all_spans(t, frozenset(b.column(2)[i].as_py() or ()), number)
                 base = [s for s in found if s[0] != "id"]
                 for k, _, _ in base:
                     n[KINDS.index(k), i] += 1
@@ -194,14 +229,14 @@ def find(docs: DataFrame, kept: list[str], *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return d.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, kept: list[str], *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, kept: list[str] | DataFrame, *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with every span replaced by <KIND> (overlapping ones by the first's); size_col, if there, follows the text."""
     ready(docs.sparkSession)
-    known, names = frozenset(kept), docs.columns
+    names = docs.columns
+    marked, known, own = _marked(docs, kept, text_col)
 
     def run(it):
         for b in it:
@@ -210,13 +245,14 @@ def redact(docs: DataFrame, kept: list[str], *, text_col: str = "text", size_col
             changed = {}
             for i, t in rows(old):
                 out, end = [], 0
-                for kind, a, e in sorted(all_spans(t, known), key=lambda s: (s[1], -s[2])):
+                spans = all_spans(t, known) if own is None else all_spans(t, frozenset(b.column(len(names))[i].as_py() or ()), number)
+                for kind, a, e in sorted(spans, key=lambda s: (s[1], -s[2])):
                     if a >= end:
                         out += [t[end:a], f"<{kind.upper()}>"]
                     end = max(end, e)
                 if out:
                     changed[i] = "".join(out) + t[end:]
-            cols = list(b.columns)
+            cols = list(b.columns)[: len(names)]
             if changed:
                 at = pa.array(list(changed), pa.int64())
                 mask = np.zeros(b.num_rows, bool)
@@ -226,9 +262,9 @@ def redact(docs: DataFrame, kept: list[str], *, text_col: str = "text", size_col
                 if size_col in names:
                     j = names.index(size_col)
                     cols[j] = pa.compute.replace_with_mask(cols[j], pa.array(mask), pa.array([len(changed[i]) for i in order], cols[j].type))
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)
 
 
 def op8_pii(spark, sf_dir):

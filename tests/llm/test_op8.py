@@ -60,3 +60,19 @@ def test_digest(spark):
     r = find(spark.createDataFrame([(1, t)], "doc_id long, text string"), []).first()
     want = ",".join(f"{k}:{a}:{e}" for k, a, e in brute(t))
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1) and r.spans == want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_small_context_beside_a_hot_source(spark):
+    hexa = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"write to user{i}@mail.example now") for i in range(4000)]
+    rows += [(5000 + i, f'badge = "{hexa(i)}" and more') for i in range(5)] + [(6000, 'badge = "ZZ-9981-QQ" y'), (6001, None), (None, 'badge = "ZZ-9982-QQ" y'), (6000, 'badge = "ZZ-9981-QQ" y')]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_chars int")
+    kept = learn(docs)
+    one = find(docs, kept)
+    assert {r.spans for r in one.where("doc_id = 6000 or doc_id is null").collect()} == {"id:9:19"}
+    # too many patterns to send: the same by joins
+    many = learn(docs, send=0)
+    assert sorted(r.pattern for r in many.collect()) == kept
+    assert sorted(map(str, find(docs, many).collect())) == sorted(map(str, one.collect()))
+    assert redact(docs, many).columns == docs.columns
+    assert sorted(map(str, redact(docs, many).collect())) == sorted(map(str, redact(docs, kept).collect()))
