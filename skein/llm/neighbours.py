@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: NN-descent by joins, then greedy graph search.
 
 Vectors of equal content are one node, named by its smallest id. Nodes carry a code: the unit
-vector in 8-bit steps; codes guide, the final scores are exact.
+vector in single precision, so that near copies are told apart; codes guide, and all EF nodes
+found for a query are scored exactly.
 
 Build: buckets of random hyperplanes give first neighbours (large buckets are split at
 random). Then, again and again, each node introduces its neighbours, in both directions, to
@@ -42,8 +43,7 @@ def _codes(col: pa.Array) -> np.ndarray:
     """Rows of a binary column of codes of one size: unit vectors (float32)."""
     _, off, data = col.buffers()
     off = np.frombuffer(off, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
-    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]].reshape(len(col), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.float32).reshape(len(col), -1)
 
 
 def nodes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -65,10 +65,7 @@ def coded(reps: DataFrame) -> DataFrame:
             v = _matrix(b.column(1))
             u = v / np.maximum(np.abs(v).max(1), 1e-300)[:, None] if len(v) else v
             u = u / np.linalg.norm(u, axis=1)[:, None] if len(v) else u
-            step = np.abs(u).max(1) / 127 if len(v) else np.zeros(0)
-            q = np.rint(u / step[:, None]).astype(np.int8) if len(v) else u.astype(np.int8)
-            scale = (1 / np.linalg.norm(q.astype(np.float32), axis=1)).astype(np.float32) if len(v) else np.zeros(0, np.float32)
-            raw = np.concatenate([scale[:, None].view(np.uint8).reshape(len(v), -1), q.view(np.uint8)], axis=1) if len(v) else []
+            raw = u.astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), b.column(1)], ["node", "code", "vec"])
 
     return reps.select("node", "vec").mapInArrow(run, "node long, code binary, vec array<double>")
@@ -245,13 +242,12 @@ def nearest(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_i
     asked = table(member.where(is_query).select(F.col("id").alias("query_id"), F.col("node").alias("q")), "asked")
     graph = build(codes.select("node", "code"), codes.count(), size, k=degree, rounds=rounds)
     found = search(graph, codes.select("node", "code"), asked.select("q").distinct().join(codes.select(F.col("node").alias("q"), "code"), "q"), ef=ef, step=step)
-    keep = 6 * k + 2
 
     def unpack(it):
         for b in it:
             q, v = [], []
             for n, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.frombuffer(i, np.int64)[:keep]
+                ids = np.frombuffer(i, np.int64)
                 q.append(np.full(len(ids), n))
                 v.append(ids)
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64())

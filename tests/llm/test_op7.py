@@ -49,3 +49,16 @@ def test_odd_rows_and_hot_copies(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert nearest(df.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
     assert nearest(df.where("false"), F.col("id") % 50 == 0).count() == 0
+
+
+def test_recall_in_a_hot_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1800, 64))
+    v[:600] = v[0] + 0.003 * rng.normal(size=(600, 64))  # a third of the rows, mutual cosine about 0.99999
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    asked = [i for i in range(1800) if i % 20 == 0 and i < 600]
+    want = brute(range(1800), v, asked, 5)
+    mine = {}
+    for r in nearest(df, (F.col("id") % 20 == 0) & (F.col("id") < 600)).collect():
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(mine[q] & {i for i, _ in x}) for q, x in want.items()) >= 0.95 * 5 * len(want)
