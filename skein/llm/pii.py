@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import buffers
+from skein.llm.text import buffers, row_counts
 from skein.runtime import drop_table, read, ready, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -43,6 +44,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{16,}")
 _CONTEXT = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
+_HOT = np.zeros(256, bool)
+_HOT[[64, *range(48, 58)]] = True
 SEND = 100_000  # patterns sent to all tasks at most
 SIDE = 48  # characters of context on either side; a token cut by this bound is read as cut
 
@@ -112,31 +115,31 @@ def patterns(t: str, a: int, e: int) -> list[str]:
     return [f"L2 {two[0]} {two[1]}", f"LR {one} {nxt}", f"LS {one} {shape(t[a:e])}"]
 
 
-def rows(col) -> list[tuple[int, str]]:
-    """(row, text) of the texts with a digit or @; others hold none of this."""
+def rows(col):
+    """(row, text) of the texts with a digit or @, one after the other; others hold none of this."""
     buf, off = buffers(col)
-    hot = (buf == 64) | ((buf >= 48) & (buf <= 57))
-    n = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(hot, out=n[1:])
-    return [(i, buf[off[i] : off[i + 1]].tobytes().decode()) for i in np.flatnonzero(n[off[1:]] > n[off[:-1]]).tolist()]
+    for i in np.flatnonzero(row_counts(_HOT[buf], off)).tolist():
+        yield i, buf[off[i] : off[i + 1]].tobytes().decode()
 
 
 def instances(docs: DataFrame) -> DataFrame:
     """pattern, instance (hash of the text), seed: one row for each of an instance's patterns."""
 
     def run(it):
+        pat, inst, seed, schema = [], [], [], pa.schema([("pattern", pa.string()), ("instance", pa.int64()), ("seed", pa.bool_())])
         for b in it:
-            pat, inst, seed = [], [], []
             for _, t in rows(b.column(0)):
                 base = base_spans(t)
-                found = [(a, e, True) for _, a, e in base] + [(a, e, bool(_HEX.fullmatch(t[a:e]))) for a, e in candidates(t, base)]
-                for a, e, s in found:
-                    h = int.from_bytes(hashlib.blake2b(t[a:e].encode(), digest_size=8).digest(), "little", signed=True)
+                for a, e, s in chain(((a, e, True) for _, a, e in base), ((a, e, bool(_HEX.fullmatch(t[a:e]))) for a, e in candidates(t, base))):
+                    h = number(t[a:e])
                     for p in patterns(t, a, e):
                         pat.append(p)
                         inst.append(h)
                         seed.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(pat, pa.string()), pa.array(inst, pa.int64()), pa.array(seed, pa.bool_())], ["pattern", "instance", "seed"])
+                    if len(pat) >= 8192:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, (pat, inst, seed))), schema=schema)
+                        pat, inst, seed = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(pat, pa.string()), pa.array(inst, pa.int64()), pa.array(seed, pa.bool_())], schema=schema)
 
     # a value repeated in one place over and over is one link
     return docs.select("text").mapInArrow(run, "pattern string, instance long, seed boolean").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))

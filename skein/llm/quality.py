@@ -34,6 +34,7 @@ def _class(chars: bytes) -> np.ndarray:
 
 
 _CLASSES = [_class(x) for x in (bytes(range(65, 91)), b"0123456789", b"!", b"*&#$%@^~<>{}[]\\=+", b"|", b".", b",;:", b"\n", bytes(range(128, 256)), b" \t\r", b"\"'`")]
+_ODD = (_CLASSES[2] + _CLASSES[3] + _CLASSES[4] > 0).astype(np.uint8)
 _LINE = np.arange(256, dtype=np.uint8)
 _LINE[10] = 0
 
@@ -56,8 +57,12 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     size = np.diff(off).astype(float)
     each = np.maximum(size, 1)
     # bytes by class, counted per row: one 256-bin histogram per row, then a small product
-    row = np.repeat(np.arange(R), np.diff(off))
-    hist = np.bincount(row * 256 + buf, minlength=R * 256).reshape(R, 256)
+    hist = np.zeros((R, 256), np.int64)
+    for a in range(0, len(buf), 1 << 18):
+        e = min(a + (1 << 18), len(buf))
+        lo, hi = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, e, side="left"))
+        row = np.repeat(np.arange(hi - lo) * 256, np.diff(np.clip(off[lo : hi + 1], a, e)))
+        hist[lo:hi] += np.bincount(row + buf[a:e], minlength=(hi - lo) * 256).reshape(-1, 256)
     up, digit, bang, symbol, bar, stop, comma, newline, high, space, quote = (hist @ np.array(_CLASSES).T).T
     w, s = Words(buf, off, ALNUM), Words(buf, off, NONSPACE)
     h, n, wr = w.hashes(), w.n, w.row()
@@ -76,9 +81,8 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     ul, tl = _unique(lines.row(), lines.hashes(), R)
     nl = np.maximum(lines.n, 1)
     ns = np.maximum(s.n, 1)
-    odd = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(_CLASSES[3][buf] + _CLASSES[2][buf] + _CLASSES[4][buf] > 0, out=odd[1:])
-    odd_words = np.bincount(s.row()[odd[s.end] > odd[s.start]], minlength=R)
+    odd = np.maximum.reduceat(_ODD[buf], s.start) if len(s.start) else np.zeros(0, np.uint8)  # what follows a word is white space
+    odd_words = np.bincount(s.row()[odd > 0], minlength=R)
     short = np.bincount(wr[ln <= 3], minlength=R)
     return np.column_stack([
         np.log1p(size), np.log1p(n), mean, sd, up / each, digit / each, bang / each, symbol / each, bar / each, stop / each, comma / each, newline / each, high / each, space / each,

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import buffers
+from skein.llm.text import buffers, parts
 from skein.runtime import drop_table, read, ready, table
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its bits, high first
@@ -35,20 +35,29 @@ _ROWS = (np.arange(8) * 256).astype(np.int64)
 
 
 def fingerprint(text: bytes, n: int = 4, seed: int = 42) -> int:
-    words = text.lower().split()
-    if not words:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if len(words) <= n:
-        hs = [h(b" ".join(words), seed)]
-    else:
+    h, carry, count, total = xxhash.xxh64_intdigest, [], np.zeros((8, 8), np.int64), 0
+    for part in parts(text):  # a long text a piece at a time; the last words of one begin the next one's shingles
+        words = carry + part.lower().split()
+        carry = words[1 - n :] if n > 1 else []
+        if len(words) < n:
+            continue
         joined = b" ".join(words)
         end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         start = np.concatenate([[0], end[:-1] + 1])
-        hs = [h(joined[a:e], seed) for a, e in zip(start[: 1 - n].tolist(), end[n - 1 :].tolist())]
+        hs = [h(joined[a:e], seed) for a, e in zip(start[: len(words) - n + 1].tolist(), end[n - 1 :].tolist())]
+        total += len(hs)
+        count += _set_bits(hs)
+    if not total:
+        if not carry:
+            return 0
+        total, count = 1, _set_bits([h(b" ".join(carry), seed)])
+    return int.from_bytes(np.packbits((2 * count > total).ravel()).tobytes(), "big")
+
+
+def _set_bits(hs: list[int]) -> np.ndarray:
+    """How often each of the 64 bits is set, high first."""
     b = np.array(hs, ">u8").view(np.uint8).reshape(-1, 8)
-    c = np.bincount((b + _ROWS).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits((2 * c > len(hs)).ravel()).tobytes(), "big")
+    return np.bincount((b + _ROWS).ravel(), minlength=2048).reshape(8, 256) @ _BITS
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,22 +6,57 @@ bytes gives the same words as working on characters.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LONG = 1 << 17  # elements hashed at once; the tables of powers are no longer, whatever the texts
+
 
+def _table(x: np.uint64) -> np.ndarray:
+    t = np.full(LONG + 1, x, np.uint64)
+    t[0] = 1
+    return np.cumprod(t)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        n = max(n, 1 << 20)
-        for k, p in enumerate((_P, _PINV)):
-            x = np.full(n, p, np.uint64)
-            x[0] = 1
-            _pow[k] = np.cumprod(x)
-    return _pow[0], _pow[1]
+
+_POW, _INV = _table(_P), _table(_PINV)
+
+
+def hash_segments(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of x[i] * P^(i - start) over each segment, modulo 2^64; segments are in order and do not overlap."""
+    out, lo, n = np.zeros(len(start), np.uint64), 0, len(start)
+    while lo < n:
+        a = int(start[lo])
+        hi = int(np.searchsorted(end, a + LONG, side="right"))
+        if hi > lo:
+            e = int(end[hi - 1])
+            c = np.zeros(e - a + 1, np.uint64)
+            np.cumsum(x[a:e].astype(np.uint64) * _POW[: e - a], out=c[1:])
+            s = start[lo:hi] - a
+            out[lo:hi] = (c[end[lo:hi] - a] - c[s]) * _INV[s]
+        else:  # one segment that is longer than the tables
+            hi, total, scale = lo + 1, np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for b in range(a, int(end[lo]), LONG):
+                y = x[b : min(b + LONG, int(end[lo]))].astype(np.uint64)
+                total += scale * (y * _POW[: len(y)]).sum(dtype=np.uint64)
+                scale *= _POW[LONG]
+            out[lo] = total[0]
+        lo = hi
+    return out
+
+
+def row_counts(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags are set in each row."""
+    n = np.zeros(len(off) - 1, np.int64)
+    some = np.flatnonzero(np.diff(off) > 0)
+    if len(some):
+        n[some] = np.add.reduceat(flags.view(np.uint8) if flags.dtype == bool else flags, off[:-1][some], dtype=np.int64)
+    return n
 
 
 def lut(chars: str | None = None, lower: bool = True) -> np.ndarray:
@@ -89,29 +124,12 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes after the table's mapping."""
-        p, q = _powers(len(self.buf) + 1)
-        c = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(self.low.astype(np.uint64) * p[: len(self.buf)], out=c[1:])
-        h = (c[self.end] - c[self.start]) * q[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
-
-    def prefixes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For run_hash(): sums over the words' hashes h."""
-        p, q = _powers(len(h) + 1)
-        c = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * p[: len(h)], out=c[1:])
-        return c, q
+        return mix(hash_segments(self.low, self.start, self.end) + (self.end - self.start).astype(np.uint64))
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
-def run_hash(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of the words a..e (e exclusive) by their content."""
-    c, q = sums
-    return mix((c[e] - c[a]) * q[a] + (e - a).astype(np.uint64))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -163,8 +181,42 @@ class Vocabulary:
         return np.where(self.sorted[at] == h, self.order[at], -1).astype(np.int32)
 
 
+_kept: dict = {}
+_stage = [None]
+
+
+def forget() -> None:
+    """Drop what kept() holds if this worker now runs another stage."""
+    from pyspark import TaskContext
+
+    now = TaskContext.get()
+    now = now.stageId() if now else None
+    if now != _stage[0]:
+        _kept.clear()
+        _stage[0] = now
+
+
+def kept(key, build):
+    """What build() makes, once for all tasks of a stage that run in this worker."""
+    forget()
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def parts(text: bytes, size: int = 1 << 20):
+    """A text in pieces of about size bytes, cut at white space."""
+    a, n = 0, len(text)
+    while a < n:
+        m = _SPACE.search(text, a + size) if a + size < n else None
+        e = m.start() if m else n
+        yield text if (a, e) == (0, n) else text[a:e]
+        a = e
+
+
 def batches(it, text: str, limit: int = 2 << 20):
-    """(record batch, buf, off) of bounded pieces of each incoming Arrow batch."""
+    """(record batch, buf, off) of bounded pieces of each incoming Arrow batch; a longer row is a piece of its own."""
+    forget()
     for b in it:
         if not b.num_rows:
             continue

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from skein.llm.text import kept, parts
+
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _OK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _APOS = re.compile(r"'(?:s|t|re|ve|m|ll|d)", re.I)
@@ -29,7 +31,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, words: int = 300_000, pieces: int = 500_000):
+    def __init__(self, path: str, words: int = 150_000, pieces: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -66,6 +68,9 @@ class WordTokenizer:
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
+        return b"".join(map(self._part, parts(text)))
+
+    def _part(self, text: bytes) -> bytes:
         words, get = text.split(), self.words.get
         out = list(map(get, words))
         if None in out:
@@ -75,11 +80,6 @@ class WordTokenizer:
         return b"".join(out)
 
 
-_held: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, kept between tasks."""
-    if path not in _held:
-        _held[path] = WordTokenizer(path)
-    return _held[path]
+    """One per worker process and stage."""
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from skein.llm.fmindex import FMIndex
-from skein.llm.substrings import dedup
+from skein.llm import substrings
+from skein.llm.substrings import dedup, hot_minimisers, runs
 
 
 def brute(rows, size):
@@ -49,14 +50,15 @@ def made(rng, n):
     return texts + texts[:3] + ["", None, " \x0b", "a " * 400, "a b " * 100, "a " * 3000]
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(10**9, 300), (2, 10**6)])
-def test_equals_brute_force(spark, hot, chunk):
+@pytest.mark.parametrize(("hot", "chunk", "part"), [(10**9, 300, 10), (10**9, 10**6, 10), (2, 200, 4), (16, 10**6, 10**6)])
+def test_equals_brute_force(spark, hot, chunk, part):
     rng = random.Random(hot % 97)
     texts = made(rng, 90)
     ids = rng.sample(range(-50, 1000), len(texts))
     rows = [*zip(ids, texts)]
     df = spark.createDataFrame([(d, t, 1) for d, t in [*rows, (None, texts[0]), rows[5]]], "doc_id long, text string, start int").repartition(4)
-    got = dedup(df, hot=hot, chunk=chunk, keep_text=True).collect()
+    got = dedup(df, hot=hot, chunk=chunk, part=part, keep_text=True).collect()
+    assert bool(hot_minimisers(df.select('doc_id', 'text'), 20, hot)) == (hot < 100)
     want = brute(rows, 20)
     assert len(got) == len(rows) + 2
     for r in got:
@@ -72,11 +74,14 @@ def test_index_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
         seqs = [rng.integers(1, 5, rng.integers(0, 30)).astype(np.uint64) for _ in range(6)]
-        fm = FMIndex(seqs, 8)
+        fm = FMIndex(seqs)
+        text = [0] * (sum(len(s) + 1 for s in seqs) + 1)
+        for a, s in zip(fm.first.tolist(), seqs):
+            text[a : a + len(s)] = s.tolist()
         subs = {tuple(s[i : i + n]) for s in seqs for n in range(1, 9) for i in range(len(s) - n + 1)}
         q = rng.integers(1, 6, 60).astype(np.uint64)
         want = [max((n for n in range(1, min(8, e + 1) + 1) if tuple(q[e + 1 - n : e + 1]) in subs), default=0) for e in range(len(q))]
-        assert fm.matching_statistics(q).tolist() == want
+        assert fm.matching_statistics(q, 8).tolist() == want
         cover = np.zeros(len(q), bool)
         for a, e in fm.spans(q, 3):
             cover[a:e] = True
@@ -85,9 +90,18 @@ def test_index_against_brute_force():
             if n >= 3:
                 brute_cover[e - 2 : e + 1] = True
         assert (cover == brute_cover).all()
-        text = fm.text
-        at = np.array([i for i in range(len(text) - 3) if (text[i : i + 3] > 0).all()], np.int64)
-        live, lo, hi = fm.windows(text, at, 3, 2)
-        keys = [tuple(text[i : i + 3]) for i in at]
-        assert live.tolist() == [i for i, k in enumerate(keys) if keys.count(k) >= 2]
-        assert fm.earliest(lo, hi).tolist() == [int(at[keys.index(keys[i])]) for i in live]
+        n, lo, hi = fm.statistics(fm.encode(q), np.arange(len(q)), 3, 2)
+        for e in np.flatnonzero(n == 3).tolist():
+            here = [i for i in range(len(text) - 2) if text[i : i + 3] == q[e - 2 : e + 1].tolist()]
+            assert sorted(fm.locate(np.arange(lo[e], hi[e])).tolist()) == here and len(here) >= 2
+        assert not hasattr(fm, "text") and not hasattr(fm, "sa")  # the index stands for the text
+
+
+def test_long_texts_are_cut_in_steps_only(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(3000)).encode()
+    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    flat = lambda r: [(s + i, low) for _, s, n, low, _ in zip(*(x.tolist() for x in r)) for i in range(n)]
+    want = flat(runs(buf, off))
+    monkeypatch.setattr(substrings, "STEP", 137)
+    assert flat(runs(buf, off)) == want and [p for p, _ in want] == list(range(2981))
