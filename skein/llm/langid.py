@@ -6,13 +6,16 @@ gives a number of phrases; times log2 of the labelled text's length and by the l
 this estimates the cross-entropy to the language. The least one wins.
 
 Letters are read in lower case; each run of other ASCII characters counts as one separator.
-Texts are read in stretches of STRETCH symbols, all stretches of a batch side by side: every
-symbol of a whole text is read, and a stretch's end closes at most one phrase early, in all
-languages alike. The automata become one table of jumps (state, symbol) -> state, negative
-where a phrase ends there.
+Texts are parsed whole. To read long ones side by side they are first parsed in stretches of
+STRETCH symbols, each as if a phrase began there; then the parse that really enters a stretch
+is followed until it meets the one that was guessed, from where both are the same. This is
+repeated where a stretch's end changed, so the result is that of one parse from the first
+symbol to the last. The automata become one table of jumps (state, symbol) -> state,
+negative where a phrase ends there.
 
-The fit uses a bounded sample: for each language at most DOCS different texts, the first by
-hash, their first CHARS characters, and at most SYMBOLS symbols in all.
+The fit uses a bounded sample: for each language the first DOCS different texts by hash, of
+these in that order every text that still fits into SYMBOLS bytes, whole; only if the first
+text alone does not fit, its first SYMBOLS bytes.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the
 alphabetically first language; null id is scored (held_out false); repeated rows are scored
@@ -30,10 +33,10 @@ from pyspark.sql.window import Window
 
 from skein.llm.labelled import crc_mod
 from skein.llm.licenses import SuffixAutomaton
-from skein.llm.text import batches, buffers
+from skein.llm.text import batches, kept, row_counts
 from skein.runtime import read, ready
 
-DOCS, CHARS, SYMBOLS, STRETCH = 48, 20_000, 32_768, 256
+DOCS, SYMBOLS, STRETCH = 96, 32_768, 256
 
 _MAP = np.zeros(256, np.uint8)  # separators 0, letters 97..122, other bytes themselves
 _MAP[97:123] = np.arange(97, 123)
@@ -50,9 +53,7 @@ def symbols(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     keep[off[:-1][off[:-1] < len(s)]] = True
-    pos = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(keep, out=pos[1:])
-    return s[keep], pos[off]
+    return s[keep], np.concatenate([[0], np.cumsum(row_counts(keep, off))])
 
 
 class Parser:
@@ -63,7 +64,7 @@ class Parser:
         seqs = []
         for k in self.langs:
             buf = np.frombuffer(samples[k], np.uint8)
-            seqs.append(symbols(buf, np.array([0, len(buf)]))[0][:SYMBOLS])
+            seqs.append(symbols(buf, np.array([0, len(buf)]))[0])
         seen = np.unique(np.concatenate([*seqs, np.zeros(1, np.uint8)]))
         self.code = np.full(256, len(seen), np.int32)  # all bytes never seen are one symbol
         self.code[seen] = np.arange(len(seen))
@@ -93,31 +94,61 @@ class Parser:
         start = off[:-1][row] + (np.arange(len(row)) - first[row]) * STRETCH
         length = np.minimum(off[1:][row] - start, STRETCH)
         lanes = np.argsort(-length, kind="stable")  # full stretches first, so that a step touches live ones only
-        start, length, row = start[lanes], length[lanes], row[lanes]
         out = np.zeros((len(size), len(self.langs)))
         if not len(row):
             return out
         c = self.code[s]
+        place = np.empty(len(row), np.int64)
+        place[lanes] = np.arange(len(row))
+        follows = place[1:][row[1:] == row[:-1]]  # lanes that go on from the one before, and that one
+        before = place[:-1][row[1:] == row[:-1]]
+        start, length, row = start[lanes], length[lanes], row[lanes]
         live = np.searchsorted(-length, -np.arange(STRETCH), side="left")  # lanes longer than t
+        steps = int(length[0])
+        states, ends = np.zeros((steps, len(row)), np.int32), np.zeros((steps, len(row)), bool)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
-            for t in range(int(length[0])):
+            state = np.zeros(len(row), np.int32)
+            ends[:] = False
+            for t in range(steps):
                 n = live[t]
                 v = table[state[:n] + c[start[:n] + t]]
                 end = v >> 31
-                count[:n] -= end
+                ends[t, :n] = end
                 state[:n] = v ^ end
-            out[:, k] = np.bincount(row, count, len(size))
+                states[t, :n] = state[:n]
+            # follow what really enters each stretch until it is in the state that was guessed
+            entry, now, prev = np.zeros(len(row), np.int32), follows, before
+            while len(now):
+                new = state[prev] != entry[now]
+                now, prev = now[new], prev[new]
+                entry[now] = state[prev]
+                lane, at = now, entry[now]
+                for t in range(steps):
+                    if t:
+                        go = length[lane] > t
+                        lane, at = lane[go], at[go]
+                    if not len(lane):
+                        break
+                    v = table[at + c[start[lane] + t]]
+                    end = v >> 31
+                    at = v ^ end
+                    ends[t, lane] = end
+                    apart = states[t, lane] != at
+                    states[t, lane] = at
+                    # met: from here on the guess was right
+                    lane, at = lane[apart], at[apart]
+                changed = lane_ends(states, length, now) != state[now]
+                state[now] = lane_ends(states, length, now)
+                moved = np.zeros(len(row), bool)
+                moved[now[changed]] = True
+                now, prev = follows[moved[before]], before[moved[before]]
+            out[:, k] = np.bincount(row, ends.sum(0), len(size))
         return out
 
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = np.diff(off)
-        letter = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(_MAP[buf] != 0, out=letter[1:])
-        some = (letter[off[1:]] > letter[off[:-1]]) & (n > 0)
-        plain = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum((_MAP[buf] != 0) & (buf < 128), out=plain[1:])
-        for i in np.flatnonzero(some & (plain[off[1:]] == plain[off[:-1]])):
+        some = row_counts(_MAP[buf] != 0, off) > 0
+        for i in np.flatnonzero(some & (row_counts((_MAP[buf] != 0) & (buf < 128), off) == 0)):
             some[i] = any(map(str.isalpha, buf[off[i] : off[i + 1]].tobytes().decode()))
         if not self.langs:
             return ["und"] * len(n), np.zeros(len(n))
@@ -128,39 +159,34 @@ class Parser:
         return [self.langs[b] if x else "und" for b, x in zip(best, some)], score
 
 
-_held: list = [None, None]
-
-
-def parser(samples: dict[str, bytes]) -> Parser:
-    """The last one built in this worker, if it is for these samples."""
-    if _held[0] != samples:
-        _held[:] = [samples, Parser(samples)]
-    return _held[1]
+def lane_ends(states: np.ndarray, length: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """The states at the ends of lanes."""
+    return states[length[lanes] - 1, lanes]
 
 
-def fit_languages(docs: DataFrame, keep: Column, *, docs_each: int = DOCS) -> dict[str, bytes]:
+def fit_languages(docs: DataFrame, keep: Column, *, docs_each: int = DOCS, symbols_each: int = SYMBOLS) -> dict[str, bytes]:
     """Bounded labelled text for each language of the rows that `keep` admits."""
-    own = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.col("doc_id") % 1009).alias("h"))
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 40.0 * docs_each / n))))
-    some = own.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).withColumn("text", F.substring("text", 1, CHARS))
-    some = some.groupBy("lang", "text").agg(F.min("h").alias("h"))
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs_each)
-    out: dict[str, bytes] = {k: b"" for k in counts}
-    for r in some.orderBy("lang", "k").collect():  # at most docs_each rows a language
-        if len(out[r.lang]) < 2 * SYMBOLS:
-            out[r.lang] += r.text.encode() + b"\n"
+    own = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    first = own.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_each)  # no text moves
+    some = own.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text"))  # docs_each rows a language
+    out: dict[str, bytes] = {}
+    for r in some.orderBy("lang", "k").toLocalIterator():  # at most docs_each rows a language
+        held, own_text = out.setdefault(r.lang, b""), r.text.encode()
+        if len(held) + len(own_text) < symbols_each:
+            out[r.lang] = held + own_text + b"\n"
+        elif not held and r.k == 1:
+            out[r.lang] = own_text[:symbols_each]
     return {k: v for k, v in out.items() if v}
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
     ready(docs.sparkSession)
+    key = hash(tuple(sorted(samples.items())))
 
     def run(it):
-        p = parser(samples)
+        p = kept(("languages", key), lambda: Parser(samples))
         for b, buf, off in batches(it, "text", 4 << 20):
             lang, score = p.predict(buf, off)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
