@@ -78,3 +78,89 @@ def test_batch_size_changes_nothing(size):
         r = Scanner().rows(buf[o[0] : o[-1]], o - o[0])
         got += list(zip(r[0].tolist(), r[1].tolist()))
     assert got == [brute(t)[:2] for t in TEXTS] and np.sum([g[1] for g in got])
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction"""
+CASES = [
+    ("Licensed under the GNU General Public License, version 2.", "gpl-2"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gpl-3"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', "mit"),
+    (MIT, "mit"),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "agpl-3"),
+    ("the of and to use this software for any work", ""),
+]
+
+
+def test_wordings_are_told_apart(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CASES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(df).collect()}
+    assert got == {k: w for k, (_, w) in enumerate(CASES)}
+
+
+def test_whole_texts_and_two_grants(spark):
+    import pkgutil
+
+    from skein.llm.licenses import WHOLE
+
+    rows = [(name, "Copyright x\n" + pkgutil.get_data("skein.llm", f"wordings/{name}.txt").decode()) for name in WHOLE]
+    rows.append(("two", MIT + " filler" * 50 + "\n" + MIT + " more words here " * 9 + "Licensed under CC BY-SA 4.0"))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, (label, _) in WHOLE.items():
+        assert label in got[name].labels.split(","), (name, got[name].labels)
+    assert "gpl-3" not in got["gpl-2"].labels and "gpl-2" not in got["gpl-3"].labels
+    spans = [s for s in got["two"].spans if s.label == "mit"]
+    assert {s.start for s in spans} >= {0, len(MIT.split()) + 50} and got["two"].labels == "cc-by-sa,mit"
+
+
+def test_wording_of_common_words_only(spark):
+    df = spark.createDataFrame([(1, "use of this work or any copy"), (2, "no use")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(df, templates={"x": ["use of this work or any copy"], "y": ["use of the work " * 40]}).collect()}
+    assert got == {1: "x", 2: ""}
+
+
+def brute_chains(words, wording, least, gap):
+    """Coverage of the best chain by trying every chain of every common run."""
+    hits = set()
+    for i in range(len(words)):
+        for t in range(len(wording)):
+            n = 0
+            while i + n < len(words) and t + n < len(wording) and words[i + n] == wording[t + n]:
+                n += 1
+            # a maximal match that ends at i + n: no longer one of the wording ends there
+            if n >= least:
+                hits.add((i, t, n))
+    longest = {}
+    for i, t, n in hits:
+        longest[i + n] = max(longest.get(i + n, 0), n)
+    hits = sorted(h for h in hits if longest[h[0] + h[2]] == h[2] and not any(words[h[0] : h[0] + h[2] + 1] == wording[k : k + h[2] + 1] for k in range(len(wording)) if h[0] + h[2] < len(words)))
+    best = {}
+    for i, (q, t, n) in enumerate(hits):
+        best[i] = n
+        for j in range(i):
+            a, b, m = hits[j]
+            over = max(0, a + m - q, b + m - t)
+            if a < q and b < t and over < n and q - a - m <= gap:
+                best[i] = max(best[i], best[j] + n - over)
+    return min(1.0, max(best.values(), default=0) / len(wording))
+
+
+def test_best_chain_equals_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(60):
+        wording = [rng.choice("abcdefgh") for _ in range(rng.randrange(4, 14))]
+        words = [rng.choice("abcdefghz") for _ in range(rng.randrange(0, 25))]
+        at = rng.randrange(len(words) + 1)
+        own = [w for w in wording if rng.random() < 0.85]
+        words[at:at] = own
+        s = Scanner(templates={"x": [" ".join(wording)]}, base={}, least=2, gap=4)
+        text = np.frombuffer(" ".join(words).encode(), np.uint8)
+        got = s.rows(text, np.array([0, len(text)]))
+        want = brute_chains(words, wording, 2, 4)
+        assert bool(got[5][0]) == (want >= 0.75), (words, wording)
+        if want >= 0.75:
+            assert max(x[3] for x in got[5][0]) == pytest.approx(want)
