@@ -6,26 +6,31 @@
    random W; from Y and W'Y follow A's leading singular values and right singular vectors.
 3. Search: passages that overlap by half, and items, are projected on these vectors, each
    scaled to unit variance (else what most texts share would outweigh what tells them apart).
-   Pairs whose cosine is at least `cosine` are candidates. All passages meet all items, as a product of
-   two small matrices for each piece of input; items are a stated query set, taken in blocks.
+   Pairs whose cosine is at least `cosine` are candidates. Passages meet items as products of
+   two small matrices; items are a stated query set.
    Places where `answer` of an item's answer stands are candidates whatever their cosine, so that
    nothing is lost that the proof would accept.
-4. Proof: the longest common subsequence of the item's words and those about the passage must
-   hold `common` of the item, and of the item's answer, its most telling words, `answer` must
-   be there. So a copy with words changed, left out or put in is found; chance likeness is not.
+4. Proof, for windows that begin every GRID words of a text and are long enough to hold any
+   stretch of twice the item's words: the longest common subsequence of the item's and the
+   window's words holds `common` of the item, the different words that are there hold 0.8 of
+   that share of the item's weight (else common words alone would do), and of the item's
+   answer, its most telling third, `answer` is there. So a copy with words changed, left out or put in is found; chance
+   likeness is not. What can't reach that by its different words alone is left out before.
+   Items of fewer than LEAST words are found only where all their words stand one after another.
 
 Words are runs of ASCII letters and digits and all characters from U+0080 up, A-Z in lower case.
-
-Defined results: null texts count as empty and hold nothing; items that are null or have fewer
-than LEAST words are not searched for; rows with null id are searched like others; repeated
-rows are documents of their own; of several places in a document the one with the largest
-overlap counts, then the first; an empty table on either side gives an empty result; other
-columns are ignored (clean() keeps them).
+What is found depends on the texts, the items and the weights, not on the basis. A basis serves
+all items up to ITEM_WORDS words; more items go on in a second basis.
+
+Defined results: null texts count as empty and hold nothing; items that are null, have a null
+id or no word are not searched for; rows with null id are searched like others; repeated rows
+are documents of their own, repeated items items of their own; of several windows in a document
+the one with the largest overlap counts, then the first; an empty table on either side gives
+an empty result; ids may be of any type; other columns are ignored (clean() keeps them).
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,23 +39,25 @@ from pyspark.sql import functions as F
 from skein.llm.text import ALNUM, Vocabulary, Words, batches, buffers, hash_words
 from skein.runtime import read, ready
 
-PASSAGE, RANK, LEAST, BLOCK = 32, 96, 5, 2000
+PASSAGE, RANK, LEAST, GRID, ITEM_WORDS = 32, 64, 5, 64, 1 << 22
+TILE = 4096  # words whose vectors are held at once: small enough for a core's cache
 
 
 class Items:
-    """A block of items: their words, vocabulary and weights."""
+    """Items: their words, vocabulary and weights; short ones are kept apart."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple]):
         buf, off = buffers(pa.array([t for _, t in rows], pa.large_string()))
         w = Words(buf, off, ALNUM)
         low = np.where(w.low == 0, 32, w.low).astype(np.uint8).tobytes()
         words = [low[a:e].decode() for a, e in zip(w.start.tolist(), w.end.tolist())]
         own = [words[a : a + n] for a, n in zip(w.first.tolist(), w.n.tolist())]
-        keep = [k for k, x in enumerate(own) if len(x) >= LEAST]
-        self.ids, own = [rows[k][0] for k in keep], [own[k] for k in keep]
-        self.words = sorted({x for y in own for x in y})
+        some = [k for k, x in enumerate(own) if x]
+        keep, few = [k for k in some if len(own[k]) >= LEAST], [k for k in some if len(own[k]) < LEAST]
+        self.words = sorted({x for k in some for x in own[k]})
         num = {x: k for k, x in enumerate(self.words)}
-        self.items = [[num[x] for x in y] for y in own]
+        self.ids, self.short_ids = [rows[k][0] for k in keep], [rows[k][0] for k in few]
+        self.items, self.short = [[num[x] for x in own[k]] for k in keep], [[num[x] for x in own[k]] for k in few]
         self.hashes = hash_words(self.words, ALNUM) if self.words else np.zeros(0, np.uint64)
 
     def weigh(self, df: np.ndarray, n: int) -> None:
@@ -64,24 +71,16 @@ class Items:
         return [np.array(x) for x in self.items]
 
 
-def _tokens(w: Words, vocab: Vocabulary, step: int):
-    """Numbers of vocabulary words, the piece of `step` words each is in, and each piece's row and start."""
-    ids = vocab.ids(w.hashes())
-    pieces = -(-w.n // step)
-    row = np.repeat(np.arange(len(w.n)), pieces)
-    base = np.cumsum(pieces) - pieces
-    start = (np.arange(len(row)) - base[row]) * step
-    at = np.flatnonzero(ids >= 0)
-    r = np.searchsorted(w.first, at, side="right") - 1
-    return ids, ids[at], base[r] + (at - w.first[r]) // step, row, start
-
-
-def _sum_rows(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of values with equal key; key is sorted."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(key):
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        out[key[first]] = np.add.reduceat(values, first)
+def _sums(table: np.ndarray, rows: np.ndarray, weight: np.ndarray | None, key: np.ndarray, n: int) -> np.ndarray:
+    """n x width: for each key the sum of (weighted) rows of the table; key is in order. TILE rows at a time."""
+    out = np.zeros((n, table.shape[1]), np.float32)
+    for a in range(0, len(rows), TILE):
+        k = key[a : a + TILE]
+        x = table[rows[a : a + TILE]]
+        if weight is not None:
+            x *= weight[a : a + TILE, None]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        out[k[first]] += np.add.reduceat(x, first)
     return out
 
 
@@ -115,6 +114,8 @@ def basis(docs: DataFrame, items: Items, rank: int = RANK, block: int = 128) ->
     """Words x rank: right singular vectors of A by their singular values, from one pass."""
     V, idf, hashes = len(items.words), items.idf, items.hashes
     r = min(rank, V)
+    if not items.items:
+        return np.zeros((V, r), np.float32)
     W = np.random.default_rng(7).normal(size=(V, r)).astype(np.float32)
 
     def add(Y: np.ndarray, ids: np.ndarray, piece: np.ndarray, n: int) -> None:
@@ -123,15 +124,24 @@ def basis(docs: DataFrame, items: Items, rank: int = RANK, block: int = 128) ->
         norm = np.sqrt(np.bincount(piece, x * x, n)).astype(np.float32)
         norm[norm == 0] = 1
         x = x / norm[piece]
-        z = _sum_rows(W[ids] * x[:, None], piece, n)
-        order = np.argsort(ids, kind="stable")
-        Y += _sum_rows((z[piece] * x[:, None])[order], ids[order], V)
+        z = _sums(W, ids, x, piece, n)
+        narrow = ids.astype(np.uint16) if V < 1 << 16 else ids
+        for a in range(0, len(ids), TILE):
+            order = np.argsort(narrow[a : a + TILE], kind="stable") + a
+            k = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            Y[k[first]] += np.add.reduceat(z[piece[order]] * x[order, None], first)
 
     def run(it):
         vocab, Y = Vocabulary(hashes), np.zeros((V, r), np.float64)
         for _, buf, off in batches(it, "text"):
-            _, ids, piece, row, _ = _tokens(Words(buf, off, ALNUM), vocab, PASSAGE)
-            add(Y, ids, piece, len(row))
+            w = Words(buf, off, ALNUM)
+            ids = vocab.ids(w.hashes())
+            pieces = -(-w.n // PASSAGE)
+            base = np.cumsum(pieces) - pieces
+            at = np.flatnonzero(ids >= 0)
+            own = np.searchsorted(w.first, at, side="right") - 1
+            add(Y, ids[at], base[own] + (at - w.first[own]) // PASSAGE, int(pieces.sum()))
         for k in range(0, V, block):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([Y[k : k + block].tobytes()], pa.binary())], ["k", "y"])
 
@@ -179,118 +189,154 @@ class Search:
         self.items, self.cosine, self.common, self.answer = items, cosine, common, answer
         self.vocab = Vocabulary(items.hashes)
         self.E = (basis * items.idf[:, None]).astype(np.float32)
-        own = items.rows()
-        q = np.array([self.E[x].sum(0) for x in own])
+        q = np.array([self.E[x].sum(0) for x in items.rows()]).reshape(len(items.items), -1)
         self.q = (q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]).astype(np.float32)
-        self.need = [float(items.idf[list(set(x))].sum()) for x in items.items]
         self.masks = []
         for x in items.items:
             m: dict[int, int] = {}
             for i, k in enumerate(x):
                 m[k] = m.get(k, 0) | 1 << i
             self.masks.append(m)
-        # answer word -> (item, place), sorted by word
-        post = sorted((x, k, i) for k, own in enumerate(items.items) for i, x in enumerate(own) if x in items.answer[k])
-        self.post = np.array(post, np.int64).reshape(-1, 3)
         self.size = np.array([len(x) for x in items.items], np.int64)
-        self.least = np.array([max(1, int(np.ceil(answer * len(x) - 1e-9))) for x in items.answer], np.int64)
-
-    def telling(self, w: Words, ids: np.ndarray, half: int) -> np.ndarray:
-        """Numbers piece * items + item of all places where enough of an item's answer stands, whatever the cosine.
-
-        Each answer word puts the item's start where the word's place in the item says. What the
-        proof asks of the answer is a condition here, so nothing it would accept is left out.
-        """
-        K, N = len(self.size), len(ids) + 1
-        pieces = -(-w.n // half)
-        base = np.cumsum(pieces) - pieces
-        at = np.flatnonzero(ids >= 0)
-        at = at[np.argsort(ids[at], kind="stable")]
-        own = ids[at]
-        lo, hi = np.searchsorted(own, self.post[:, 0]), np.searchsorted(own, self.post[:, 0], side="right")
-        order = np.argsort(self.post[:, 1], kind="stable")
-        post, lo, n = self.post[order], lo[order], (hi - lo)[order]
-        out, done = [], 0
-        ends = np.flatnonzero(np.append(post[1:, 1] != post[:-1, 1], True)) + 1  # where items end
-        total = np.concatenate([[0], np.cumsum(n)])
-        while done < len(post):  # some items at a time, so that memory stays bounded
-            end = int(ends[np.searchsorted(ends, done, side="right")])
-            end = max(end, int(ends[max(0, np.searchsorted(total[ends], total[done] + (1 << 20), side="right") - 1)]))
-            m = n[done:end]
-            k, i = np.repeat(post[done:end, 1], m), np.repeat(post[done:end, 2], m)
-            t = at[np.repeat(lo[done:end] - total[done:end] + total[done], m) + np.arange(len(k))]
-            done = end
-            if not len(k):
-                continue
-            places = np.unique(k * N + t)
-            r = np.searchsorted(w.first, t, side="right") - 1
-            found = np.unique((base[r] + np.maximum(t - w.first[r] - i, 0) // half) * K + k)
-            piece, k = found // K, found % K
-            r = np.searchsorted(base, piece, side="right") - 1
-            a, e = self.window((piece - base[r]) * half, self.size[k], w.n[r])
-            n_in = np.searchsorted(places, k * N + w.first[r] + e) - np.searchsorted(places, k * N + w.first[r] + a)
-            out.append(found[n_in >= self.least[k]])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    @staticmethod
-    def window(start, size, n):
-        """The words about a passage that are held against an item of `size` words."""
-        return np.maximum(0, start - size // 2 - 8), np.minimum(n, start + PASSAGE + size + 8)
+        self.need = np.ceil(common * self.size - 1e-9)
+        self.many = np.array([len(x) for x in items.answer], np.int64)
+        self.least = np.maximum(1, np.ceil(answer * self.many - 1e-9)).astype(np.int64)
+        self.span = -(-(2 * self.size + 16 + GRID) // GRID)  # cells of a window
+        self.longest = int(self.span.max(initial=1))
+        # items' words on end, and the places at which a word of the answer stands first
+        self.flat = np.array([x for own in items.items for x in own], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.weight = np.array([items.idf[x] * (own.index(x) == i) for own in items.items for i, x in enumerate(own)], float)
+        self.heavy = 0.8 * common * np.array([items.idf[sorted(set(x))].sum() for x in items.items])
+        self.telling = np.array([x in ans and own.index(x) == i for own, ans in zip(items.items, items.answer) for i, x in enumerate(own)], bool)
+        # answer word -> its items
+        post = sorted((x, k) for k, ans in enumerate(items.answer) for x in ans)
+        word = np.array([x for x, _ in post], np.int64)
+        self.post = np.array([k for _, k in post], np.int64)
+        self.post_at = np.searchsorted(word, np.arange(len(items.words)))
+        self.post_n = np.bincount(word, minlength=len(items.words))
 
     def rows(self, buf, off) -> list[tuple[int, int, float, float, float, int]]:
-        """(row, item, overlap, answer share, cosine, start word): the best place of each item found in each row."""
-        half = PASSAGE // 2
+        """(row, item, overlap, answer share, cosine, start word): the best window of each item found in each row; short items come after the others."""
         w = Words(buf, off, ALNUM)
-        ids, tok, piece, row, start = _tokens(w, self.vocab, half)
-        if not len(tok):
-            return []
-        p = _sum_rows(self.E[tok], piece, len(row))
-        p[:-1] += np.where((row[1:] == row[:-1])[:, None], p[1:], 0)  # a half and the next
-        norm = np.linalg.norm(p, axis=1)
-        sim = (p @ self.q.T) / np.maximum(norm, 1e-9)[:, None]
-        K = len(self.size)
-        ps, qs = np.divmod(np.union1d(np.flatnonzero(sim >= self.cosine), self.telling(w, ids, half)), K)
+        ids = self.vocab.ids(w.hashes())
         best: dict[tuple[int, int], tuple] = {}
-        idf, sets = self.items.idf.tolist(), {}
-        for a, k in zip(ps.tolist(), qs.tolist()):
-            r, item = int(row[a]), self.items.items[k]
-            lo, hi = map(int, self.window(start[a], len(item), w.n[r]))
-            at = (r, lo, hi)
-            if at not in sets:
-                x = ids[w.first[r] + lo : w.first[r] + hi].tolist()
-                sets[at] = (x, set(x))
-            x, have = sets[at]
-            ans = len(self.items.answer[k] & have) / len(self.items.answer[k])
-            if ans < self.answer:
-                continue
-            if sum(map(idf.__getitem__, have.intersection(self.masks[k]))) < 0.8 * self.common * self.need[k]:
-                continue
-            n = lcs(self.masks[k], len(item), x) / len(item)
-            if n >= self.common:
-                new = (n, -lo, ans, float(sim[a, k]))
-                if new > best.get((r, k), (0,)):
-                    best[r, k] = new
+        K, V = len(self.size), len(self.items.words)
+        if K and len(ids):
+            cells = -(-w.n // GRID)
+            base = np.cumsum(cells) - cells
+            row = np.repeat(np.arange(len(cells)), cells)
+            start = w.first[row] + (np.arange(len(row)) - base[row]) * GRID
+            end = np.minimum(start + GRID, (w.first + w.n)[row])
+            tile = max(1, (1 << 23) // max(V, K))
+            for c in range(0, len(row), tile):
+                self._tile(w, ids, row, start, end, (base + cells)[row], c, min(c + tile, len(row)), best)
+        for j, x in enumerate(self.items.short):
+            at = np.flatnonzero(ids[: max(0, len(ids) - len(x) + 1)] == x[0])
+            for i in range(1, len(x)):
+                at = at[ids[at + i] == x[i]]
+            r = np.searchsorted(w.first, at, side="right") - 1
+            ok = at + len(x) <= (w.first + w.n)[r]
+            for a, i in zip(at[ok].tolist(), r[ok].tolist()):
+                best.setdefault((i, K + j), (1.0, int(w.first[i]) - a, 1.0, 1.0))
         return [(r, k, n, ans, c, -lo) for (r, k), (n, lo, ans, c) in sorted(best.items())]
 
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = BLOCK):
-    """The benchmark's items, at most `size` at a time."""
-    held: list = []
-    for r in benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
-        held.append((r.i, r.t))
-        if len(held) == size:
+    def _tile(self, w, ids, row, start, end, last, c0, c1, best) -> None:
+        """Windows that begin in the cells c0..c1."""
+        K, V, own = len(self.size), len(self.items.words), np.arange(c1 - c0)
+        c2 = int(min(last[c1 - 1], c1 + self.longest - 1))
+        n, a = c2 - c0, int(start[c0])
+        x = ids[a : int(end[c2 - 1])]
+        place = np.flatnonzero(x >= 0)
+        tok, cell = x[place].astype(np.int64), np.repeat(np.arange(n), (end - start)[c0:c2])[place]
+        here = np.zeros(n * V, bool)
+        here[cell * V + tok] = True
+        here = here.reshape(n, V)
+        stop = np.minimum(last[c0:c1] - c0, n)
+        # how many answer words each window holds at most, by item
+        key = np.unique((cell * V + tok)[self.post_n[tok] > 0])
+        word, m = key % V, self.post_n[key % V]
+        k = self.post[np.repeat(self.post_at[word] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        sums = np.zeros((n + 1, K), np.int32)
+        np.cumsum(np.bincount(np.repeat(key // V, m) * K + k, minlength=n * K).reshape(n, K), axis=0, out=sums[1:])
+        found = []
+        for span in np.unique(self.span).tolist():
+            items = np.flatnonzero(self.span == span)
+            c, j = np.nonzero((sums[np.minimum(own + span, stop)] - sums[: c1 - c0])[:, items] >= self.least[items])
+            found.append(c * K + items[j])
+        p, half_at, sim = self._latent(x, tok, place, cell, row[c0:c2], (start - a)[c0:c2], (end - a)[c0:c2])
+        for c, k in sim:
+            top = c - np.arange(self.longest)[:, None]  # every window over the passage
+            ok = (top >= 0) & (top < c1 - c0) & (np.arange(self.longest)[:, None] < self.span[k])
+            ok &= row[c0 + np.maximum(top, 0)] == row[c0 + c]
+            found.append((top * K + k)[ok])
+        c, k = np.divmod(np.unique(np.concatenate(found)), K)
+        # what the different words allow at most
+        total = np.concatenate([[0], np.cumsum(self.size[k])])
+        done = 0
+        while done < len(c):
+            e = max(done + 1, int(np.searchsorted(total, total[done] + (1 << 19), side="right")) - 1)
+            cc, kk = c[done:e], k[done:e]
+            done = e
+            size = self.size[kk]
+            first = np.cumsum(size) - size
+            at = np.repeat(self.at[kk] - first, size) + np.arange(size.sum())
+            upto = np.minimum(cc + self.span[kk], stop[cc]) - 1
+            line, upto, word = np.repeat(cc, size), np.repeat(upto, size), self.flat[at]
+            got = here[line, word]
+            for d in range(1, self.longest):
+                got |= here[np.minimum(line + d, upto), word]
+            ans = np.add.reduceat((got & self.telling[at]).astype(np.int64), first)
+            enough = (np.add.reduceat(got.astype(np.int64), first) >= self.need[kk]) & (ans >= self.least[kk]) & (np.add.reduceat(got * self.weight[at], first) >= self.heavy[kk] - 1e-9)
+            for i in np.flatnonzero(enough).tolist():
+                ci, ki = int(cc[i]), int(kk[i])
+                lo, hi = int(start[c0 + ci]) - a, int(end[c0 + min(ci + int(self.span[ki]), int(stop[ci])) - 1]) - a
+                overlap = lcs(self.masks[ki], int(self.size[ki]), x[lo:hi].tolist()) / int(self.size[ki])
+                if overlap >= self.common - 1e-9:
+                    r = int(row[c0 + ci])
+                    h = slice(*np.searchsorted(half_at, [lo, hi]).tolist())
+                    new = (overlap, int(w.first[r]) - a - lo, int(ans[i]) / int(self.many[ki]), float((p[h] @ self.q[ki]).max()))
+                    if new[:2] > best.get((r, ki), (0,))[:2]:
+                        best[r, ki] = new
+
+    def _latent(self, x, tok, place, cell, row, start, end):
+        """Passages' unit vectors, where they begin, and (cells, items) of pairs whose cosine suffices."""
+        half = PASSAGE // 2
+        many = -(-(end - start) // half)
+        base = np.cumsum(many) - many
+        of = np.repeat(np.arange(len(many)), many)
+        at = start[of] + (np.arange(len(of)) - base[of]) * half
+        p = _sums(self.E, tok, None, base[cell] + (place - start[cell]) // half, len(of))
+        r = row[of]
+        p[:-1] += np.where((r[1:] == r[:-1])[:, None], p[1:], 0)  # a half and the next
+        p /= np.maximum(np.linalg.norm(p, axis=1), 1e-9)[:, None]
+        out, step = [], max(1, (1 << 20) // len(self.size))
+        for i in range(0, len(p), step):
+            h, k = np.nonzero(p[i : i + step] @ self.q.T >= self.cosine)
+            out.append((of[i + h], k))
+        return p, at, out
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = ITEM_WORDS):
+    """The benchmark's items, up to `size` words of them at a time (an item at least)."""
+    held, words = [], 0
+    for r in benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
+        n = len(r.t.split())
+        if held and words + n > size:
             yield Items(held)
-            held = []
+            held, words = [], 0
+        held.append((r.i, r.t))
+        words += n
     if held:
         yield Items(held)
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> list[tuple[Items, np.ndarray]]:
-    """For each block of items, its weights over all documents and its latent basis."""
+def fit(docs: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", size: int = ITEM_WORDS) -> list[tuple[Items, np.ndarray]]:
+    """Items, their weights over all documents, and their latent basis."""
     ready(docs.sparkSession)
     d, out = docs.select(docs[text_col].alias("text")), []
-    for items in blocks(benchmark, item_col, text_col):
-        if items.items:
+    for items in blocks(benchmark, item_col, "text" if text_col not in benchmark.columns else text_col, size):
+        if items.words:
             items.weigh(*document_frequency(d, items))
             out.append((items, basis(d, items)))
     return out
@@ -299,22 +345,25 @@ def fit(docs: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", tex
 COSINE, COMMON, ANSWER = 0.4, 0.6, 0.4
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", cosine: float = COSINE, common: float = COMMON, answer: float = ANSWER) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", cosine: float = COSINE, common: float = COMMON, answer: float = ANSWER, size: int = ITEM_WORDS) -> DataFrame:
     """doc_id, item_id, overlap, answer, cosine, start: one row for each item found in each document."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, overlap double, answer double, cosine double, start long"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    schema, arrow = f"doc_id {kind}, item_id {item_kind.simpleString()}, overlap double, answer double, cosine double, start long", to_arrow_type(item_kind)
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     out = None
-    for items, base in fit(docs, benchmark, item_col=item_col, text_col=text_col):
-        held = spark.sparkContext.broadcast((items, base))  # bounded by BLOCK items
+    for items, base in fit(docs, benchmark, item_col=item_col, text_col=text_col, size=size):
+        held = spark.sparkContext.broadcast((items, base))  # bounded by `size` words of items
 
         def run(it, held=held):
             s = Search(*held.value, cosine, common, answer)
+            ids = s.items.ids + s.items.short_ids
             for b, buf, off in batches(it, "text"):
                 got = s.rows(buf, off)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([s.items.ids[g[1]] for g in got], pa.int64())]
+                    [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([ids[g[1]] for g in got], arrow)]
                     + [pa.array([float(g[i]) for g in got], pa.float64()) for i in (2, 3, 4)] + [pa.array([g[5] for g in got], pa.int64())],
                     ["doc_id", "item_id", "overlap", "answer", "cosine", "start"],
                 )
