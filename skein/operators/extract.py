@@ -9,7 +9,7 @@ tables; further columns are ignored.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.runtime import ready
@@ -37,12 +37,17 @@ def _rows(sources: DataFrame, fn, schema: str, many: bool = False) -> DataFrame:
 PARSERS = {".py": pysource.entities, ".pyw": pysource.entities}
 
 
-def entities(sources: DataFrame, parsers: dict | None = None) -> DataFrame:
+def entities(sources: DataFrame, parsers: dict | None = None, light: bool = False) -> DataFrame:
     """One row per file with its classes, callables, imports and variables as lists.
 
+    light: parameters, return types, docstrings and local names of callables stay empty, for
+    questions about calls alone.
+
     parsers: extension -> function(path, text) giving a row of pysource.ENTITIES; files of
     other extensions, and text without one, are read as Python.
     """
+    if light and not parsers:
+        return _rows(sources, lambda p, t: pysource.entities(p, t, True), pysource.ENTITIES)
     known = PARSERS | (parsers or {})
     return _rows(sources, lambda p, t: known.get("." + (p or "").rpartition(".")[2], pysource.entities)(p, t), pysource.ENTITIES)
 
@@ -52,6 +57,11 @@ def ast_nodes(sources: DataFrame) -> DataFrame:
     return n.select("file_path", "error", F.explode_outer("nodes").alias("n")).select("file_path", "error", "n.*")
 
 
+def file_numbers(sources: DataFrame) -> DataFrame:
+    """One row per file with every count that metrics need, from one parse; nothing is shuffled."""
+    return _rows(sources, pysource.numbers, pysource.NUMBERS)
+
+
 def line_counts(sources: DataFrame) -> DataFrame:
     return _rows(sources, pysource.tokens, pysource.TOKENS)
 
@@ -104,3 +114,18 @@ def class_members(parsed: DataFrame, nested: bool = False) -> DataFrame:
         F.filter("callables", lambda m: m["class_ord"] == F.col("c.ord")).alias("methods"),
         F.filter("variables", lambda v: v["class_ord"] == F.col("c.ord")).alias("class_vars"),
     ).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+
+
+def location(start="start_line", end="end_line") -> Column:
+    """struct(file, start_line, end_line, start_col, end_col, line_count) of a class or callable row."""
+    return F.struct(F.col("file_path").alias("file"), F.col(start).alias("start_line"), F.col(end).alias("end_line"), "start_col", "end_col", (F.col(end) - F.col(start) + 1).alias("line_count"))
+
+
+def is_optional(param: Column) -> Column:
+    """A parameter that need not be given: it has a default or is annotated Optional."""
+    return param["default"].isNotNull() | F.coalesce(param["annotation"].contains("Optional"), F.lit(False))
+
+
+def to_json(entities_: DataFrame, *cols: str) -> Column:
+    """A row of any entity table as a JSON object of its columns (nulls included)."""
+    return F.to_json(F.struct(*(cols or entities_.columns)), {"ignoreNullFields": "false"})

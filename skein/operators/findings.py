@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,27 @@ def entity_blocks(callables: DataFrame, least: int = 5) -> DataFrame:
     return c.select("file_path", F.concat_ws(".", "class_name", "name").alias("name"), "start_line", "end_line", F.md5(sig).alias("hash"))
 
 
+def duplicate_members(blocks: DataFrame) -> DataFrame:
+    """hash, file_path, start_line, end_line, name: blocks of groups of two or more, after overlaps in a file are dropped (the first one stays).
+
+    Overlaps are settled within a file, and sizes counted with partial aggregation, so no group of copies is gathered.
+    """
+    many = blocks.groupBy("hash").count().where("count > 1").select("hash")
+    member = F.struct("start_line", "end_line", "name")
+    own = blocks.join(many, "hash", "left_semi").groupBy("hash", "file_path").agg(F.sort_array(F.collect_list(member)).alias("all"))  # bounded by the file
+    none = F.struct(F.lit(-1).alias("end"), F.slice("all", 1, 0).alias("kept"))
+    fold = lambda a, x: F.when(x["start_line"] > a["end"], F.struct(x["end_line"].alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+    clear = own.select("hash", "file_path", F.explode(F.aggregate("all", none, fold)["kept"]).alias("m")).select("hash", "file_path", "m.start_line", "m.end_line", "m.name")
+    left = clear.groupBy("hash").count().where("count > 1").select("hash")
+    return clear.join(left, "hash", "left_semi")
+
+
 def duplicates(blocks: DataFrame) -> DataFrame:
-    """hash, n_blocks, line_count, members: groups of two or more after overlaps in a file are dropped (the first one stays)."""
-    member = F.struct("file_path", "start_line", "end_line", "name")
-    g = blocks.groupBy("hash").agg(F.sort_array(F.collect_list(member)).alias("all")).where(F.size("all") > 1)
-    clear = lambda kept, x: ~F.exists(kept, lambda k: (k["file_path"] == x["file_path"]) & (k["start_line"] <= x["end_line"]) & (x["start_line"] <= k["end_line"]))
-    none = F.slice("all", 1, 0)
-    g = g.withColumn("members", F.aggregate("all", none, lambda kept, x: F.when(clear(kept, x), F.concat(kept, F.array(x))).otherwise(kept))).where(F.size("members") > 1)
-    total = F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x["end_line"] - x["start_line"] + 1)
-    g = g.withColumn("n_blocks", F.size("members").cast("long")).withColumn("line_count", F.floor(total / F.size("members")))
-    return g.select("hash", "n_blocks", "line_count", (F.col("line_count") * F.col("n_blocks")).alias("impact"), "members").orderBy(F.desc("impact"), F.element_at("members", 1))
+    """hash, n_blocks, line_count, impact, first_file, first_line: groups of duplicate_members(), the gravest first."""
+    m = duplicate_members(blocks)
+    g = m.groupBy("hash").agg(F.count("*").alias("n_blocks"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("total"), F.min(F.struct("file_path", "start_line")).alias("first"))
+    g = g.withColumn("line_count", F.floor(F.col("total") / F.col("n_blocks")))
+    return g.select("hash", "n_blocks", "line_count", (F.col("line_count") * F.col("n_blocks")).alias("impact"), F.col("first.file_path").alias("first_file"), F.col("first.start_line").alias("first_line")).orderBy(F.desc("impact"), "first_file", "first_line")
 
 
 CALL_RULES = [
@@ -76,6 +89,17 @@ def node_vulnerabilities(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("rule").isin(*NODE_RULES)).select("file_path", F.col("rule").alias("kind"), pick(0).alias("severity"), pick(1).alias("cwe"), "line", F.col("detail").alias("snippet"))
 
 
+_QUOTED = r"\s*\(\s*[\"']"
+SQL_TEXT = ["execute" + _QUOTED + r".*(%s|\+)", r"execute\s*\(\s*f[\"']", r"cursor\.execute" + _QUOTED + ".*format", r"\.raw" + _QUOTED + ".*%s"]
+
+
+def sql_text(sources: DataFrame) -> DataFrame:
+    """file_path, line, snippet: lines whose text looks like a query put together from parts."""
+    lines = sources.select("file_path", F.posexplode(F.split("content", r"\r\n|[\n\r]")).alias("k", "s"))
+    hit = reduce(lambda a, b: a | b, (F.col("s").rlike(p) for p in SQL_TEXT))
+    return lines.where(hit).select("file_path", (F.col("k") + 1).alias("line"), F.trim("s").alias("snippet"))
+
+
 SECRET_NAMES = [("password", r"(?i)(password|passwd|pwd)"), ("api_key", r"(?i)(api_?key|apikey)"), ("token", r"(?i)(token|auth)"), ("secret", r"(?i)secret"), ("private_key", r"(?i)private_?key")]
 SECRET_VALUES = [("aws_access_key", r"AKIA[0-9A-Z]{16}"), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("token", r"gh[pousr]_[A-Za-z0-9]{36}"), ("hex_token", r"^['\"][0-9a-f]{32,}['\"]$")]
 

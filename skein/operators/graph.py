@@ -80,32 +80,138 @@ def neighbours(edges: DataFrame, node: str | Column, forward: bool = True) -> Da
     return edges.where(F.col(a) == node).select(F.col(b).alias("node")).distinct()
 
 
-def closure(edges: DataFrame, levels: int | None = None) -> DataFrame:
-    """src, dst, level: every pair with a path, and its shortest length. Each round only joins the last one's new pairs."""
+dependencies = neighbours
+
+
+def dependents(edges: DataFrame, node: str | Column) -> DataFrame:
+    return neighbours(edges, node, forward=False)
+
+
+def vertices(nodes: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """One row per key: of several the last by `order` stands."""
+    every = F.struct(*nodes.columns)
+    return nodes.groupBy(F.col(key).alias("_key")).agg(F.max_by(every, order).alias("v")).select("v.*")
+
+
+def edges_from(edges: DataFrame, node: str | Column, edge_type: str | None = None) -> DataFrame:
+    """Edges out of a node (rows as they are), of one type if asked for."""
+    e = edges.where(F.col("src") == node)
+    return e if edge_type is None else e.where(F.col("edge_type") == edge_type)
+
+
+def edges_to(edges: DataFrame, node: str | Column, edge_type: str | None = None) -> DataFrame:
+    e = edges.where(F.col("dst") == node)
+    return e if edge_type is None else e.where(F.col("edge_type") == edge_type)
+
+
+def graph_counts(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node_count, edge_count: different nodes (those of edges, and of nodes if given) and different edges."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    if nodes is not None:
+        ids = ids.union(nodes.select("id"))
+    return ids.agg(F.count_distinct("id").alias("node_count")).crossJoin(edges.distinct().agg(F.count("*").alias("edge_count")))  # single rows
+
+
+def graph_json(edges: DataFrame) -> DataFrame:
+    """node, json: a node's out-edges as one object; a graph's JSON is the list of these rows."""
+    out = F.sort_array(F.collect_set("dst"))  # a node's own degree
+    return edges.groupBy(F.col("src").alias("node")).agg(out.alias("targets")).select("node", F.to_json(F.struct(F.col("node").alias("id"), "targets")).alias("json"))
+
+
+def closure(edges: DataFrame, levels: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """src, dst, level: pairs with a path, and its shortest length, from the nodes of start (column node), else from all.
+
+    Each round joins the last one's new pairs only; its result is a table of its own, so nothing is written twice.
+    """
     e = table(edges.select("src", "dst").distinct(), "edges")
-    known, new, n = table(e.withColumn("level", F.lit(1)), "closure"), e, 1
+    new = e if start is None else table(e.join(start.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "level")
+    known, n = new.withColumn("level", F.lit(1)), 1
     while levels is None or n < levels:
         n += 1
         step = new.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        fresh = table(step.join(known, ["src", "dst"], "left_anti"), "new")
-        if fresh.isEmpty():
+        new = table(step.join(known, ["src", "dst"], "left_anti"), "level")
+        if new.isEmpty():
+            drop_table(new)
             break
-        old, known = known, table(known.union(fresh.withColumn("level", F.lit(n))), "closure")
-        drop_table(old)
-        new = fresh
+        known = known.union(new.withColumn("level", F.lit(n)))
     return known
 
 
-def recursive_nodes(closed: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """node, root (the least node reachable whichever way edges point), by large-star and small-star rounds."""
+    now = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
+    while True:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
+        nxt = table(small, "links")
+        done = nxt.groupBy("b").count().where("count > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        drop_table(now)
+        now = nxt
+        if done:
+            alone = edges.select(F.col(a).alias("node")).union(edges.select(b)).distinct()
+            found = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return alone.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, scc (least node of its strongly connected component) for nodes on cycles; no closure is made.
+
+    Nodes without a way in or out are trimmed. Each of the rest takes the least node that
+    reaches it as colour, in rounds; the nodes of a colour that reach its node are that node's
+    component. What is left goes on. Rounds are as many as the longest shortest path.
+    """
+    whole = table(edges.select("src", "dst").distinct(), "edges")
+    found = whole.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("scc"))
+    live, parts = whole.where("src <> dst"), []
+    while True:
+        count = -1
+        while True:
+            ends = live.select(F.col("src").alias("node")).intersect(live.select("dst"))
+            nxt = table(live.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "live")
+            n, live = nxt.count(), nxt
+            if n == count or not n:
+                break
+            count = n
+        if not n:
+            break
+        colour = table(live.select(F.col("src").alias("node"), F.col("src").alias("c")).distinct(), "colour")
+        while True:
+            low = live.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+            nxt = table(colour.join(low, "node", "left").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "colour")
+            moved = not nxt.where("moved").isEmpty()
+            drop_table(colour)
+            colour = nxt
+            if not moved:
+                break
+        # backwards from each colour's node, inside the colour
+        own = live.join(colour.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2")
+        own = table(own.select("src", "dst", F.col("c1").alias("c")), "own")
+        new = table(colour.where("node = c").select("node", "c"), "reach")
+        reach = new
+        while True:
+            back = own.join(new.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct()
+            new = table(back.join(reach, ["node", "c"], "left_anti"), "reach")
+            if new.isEmpty():
+                break
+            reach = reach.union(new)
+        parts.append(reach)
+        gone = reach.select("node")
+        live = live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    many = None
+    for p in parts:
+        many = p if many is None else many.union(p)
+    if many is None:
+        return found
+    several = many.join(many.groupBy("c").count().where("count > 1"), "c").select("node", F.col("c").alias("scc"))
+    return several.union(found.join(several, "node", "left_anti"))
+
+
+def recursive_nodes(edges: DataFrame) -> DataFrame:
     """Nodes with a path back to themselves."""
-    return closed.where("src = dst").select(F.col("src").alias("node"))
-
-
-def components(closed: DataFrame) -> DataFrame:
-    """node, scc (least node of its strongly connected component) for nodes on cycles."""
-    back = closed.select(F.col("src").alias("y"), F.col("dst").alias("x"))
-    both = closed.join(back, (F.col("src") == F.col("x")) & (F.col("dst") == F.col("y"))).select("src", "dst")
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("scc")).withColumn("scc", F.least("scc", "node"))
+    return strong_components(edges).select("node")
 
 
 def diamonds(edges: DataFrame, closed: DataFrame) -> DataFrame:
@@ -123,9 +229,8 @@ def _walk(pdf: pd.DataFrame):
     for s, d in zip(pdf.src, pdf.dst):
         out.setdefault(s, [])
         out.setdefault(d, [])
-        if d not in out[s]:
-            out[s].append(d)
-    return out
+        out[s].append(d)
+    return {s: list(dict.fromkeys(ds)) for s, ds in out.items()}
 
 
 def _cycles(g: dict) -> list[list]:
@@ -163,7 +268,8 @@ def _kahn(g: dict) -> list:
             deg[d] -= 1
             if not deg[d]:
                 ready_.append(d)
-    return out + [n for n in g if n not in set(out)]
+    done = set(out)
+    return out + [n for n in g if n not in done]
 
 
 def _depth(g: dict, n) -> int:
@@ -187,8 +293,48 @@ def _depth(g: dict, n) -> int:
     return best
 
 
-def _call_depth(g: dict, n, path: frozenset) -> int:
-    return 0 if n in path else max((1 + _call_depth(g, d, path | {n}) for d in g[n]), default=0)
+def _call_depths(g: dict) -> dict:
+    """Longest way from each node without a node twice; a link back to the way counts as one step.
+
+    Nodes that reach no cycle are settled from the ends upwards; only ways about cycles are searched.
+    """
+    left, back, depth = {n: len(ds) for n, ds in g.items()}, {n: [] for n in g}, {}
+    for n, ds in g.items():
+        for d in ds:
+            back[d].append(n)
+    todo = [n for n in g if not left[n]]
+    for n in todo:
+        depth[n] = max((1 + depth[d] for d in g[n]), default=0)
+        for p in back[n]:
+            left[p] -= 1
+            if not left[p]:
+                todo.append(p)
+    settled = dict(depth)
+    for root in g:
+        if root in settled:
+            continue
+        path, on, best = [(root, iter(g[root]))], {root}, [0]
+        while path:
+            n, it = path[-1]
+            for d in it:
+                if d in settled:
+                    best[-1] = max(best[-1], 1 + settled[d])
+                elif d in on:
+                    best[-1] = max(best[-1], 1)
+                else:
+                    path.append((d, iter(g[d])))
+                    on.add(d)
+                    best.append(0)
+                    break
+            else:
+                path.pop()
+                on.discard(n)
+                b = best.pop()
+                if best:
+                    best[-1] = max(best[-1], 1 + b)
+                else:
+                    depth[root] = b
+    return depth
 
 
 def _per_graph(edges: DataFrame, graph: str, fn, schema: str) -> DataFrame:
@@ -218,4 +364,4 @@ def dependency_layers(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
 
 
 def call_depths(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
-    return _per_graph(edges, graph, lambda g: [(n, _call_depth(g, n, frozenset())) for n in g], "node string, depth int")
+    return _per_graph(edges, graph, lambda g: [(n, d) for n, d in _call_depths(g).items()], "node string, depth int")

@@ -1,13 +1,16 @@
 """Chunks of code, embeddings, and hybrid retrieval.
 
-Searches take a small stated table of queries(query_id, text); chunks are the large side and
-never move: queries are sent to them (their number is checked), scores are cut to the first
+Searches take a stated table of queries(query_id, text); chunks are the large side and never
+move: queries are sent to them in blocks of a checked size, scores are cut to the first
 k within each partition of the work before they meet.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +62,16 @@ def embed(chunks_: DataFrame, embedder: Callable[[Column], Column] | None = None
     return chunks_.withColumn("embedding", embedder(F.col(col)) if embedder else hash_embedding(F.col(col), dimension))
 
 
-def _sent(queries: DataFrame) -> DataFrame:
-    n = queries.limit(MANY_QUERIES + 1).count()
-    if n > MANY_QUERIES:
-        raise ValueError(f"more than {MANY_QUERIES} queries: search in blocks")
-    return F.broadcast(queries)
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The stated queries in blocks of about MANY_QUERIES, each to be sent to the chunks."""
+    n = queries.count()
+    many = max(1, -(-n // MANY_QUERIES))
+    return [F.broadcast(queries if many == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k)) for k in range(many)]
+
+
+def _over(queries: DataFrame, fn) -> DataFrame:
+    """fn for each block of queries, together."""
+    return reduce(DataFrame.unionByName, map(fn, _blocks(queries)))
 
 
 def _first(scored: DataFrame, k: int, order: list) -> DataFrame:
@@ -75,8 +83,8 @@ def _first(scored: DataFrame, k: int, order: list) -> DataFrame:
 
 def semantic(chunks_: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
     """query_id, chunk_id, score, rank. chunks_: chunk_id, embedding; queries: query_id, embedding."""
-    q = _sent(queries.select("query_id", F.col("embedding").alias("qv")))
-    s = chunks_.select("chunk_id", "embedding").crossJoin(q).select("query_id", "chunk_id", cosine(F.col("embedding").cast("array<double>"), F.col("qv").cast("array<double>")).alias("score"))  # a stated query set against all rows
+    q = queries.select("query_id", F.col("embedding").alias("qv"))
+    s = _over(q, lambda q: chunks_.select("chunk_id", "embedding").crossJoin(q)).select("query_id", "chunk_id", cosine(F.col("embedding").cast("array<double>"), F.col("qv").cast("array<double>")).alias("score"))
     return _first(s, k, [F.desc("score"), "chunk_id"]).where(F.col("score") >= threshold)
 
 
@@ -89,8 +97,8 @@ def keyword_score(content: Column, terms: Column) -> Column:
 
 def keyword(chunks_: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, chunk_id, score (at most 1), rank. queries: query_id, text."""
-    q = _sent(queries.select("query_id", keywords(F.col("text")).alias("terms")))
-    s = chunks_.select("chunk_id", "content").crossJoin(q).select("query_id", "chunk_id", keyword_score(F.col("content"), F.col("terms")).alias("score")).where("score > 0")
+    q = queries.select("query_id", keywords(F.col("text")).alias("terms"))
+    s = _over(q, lambda q: chunks_.select("chunk_id", "content").crossJoin(q)).select("query_id", "chunk_id", keyword_score(F.col("content"), F.col("terms")).alias("score")).where("score > 0")
     return _first(s, k, [F.desc("score"), "chunk_id"]).withColumn("score", F.least(F.lit(1.0), "score"))
 
 
@@ -112,7 +120,7 @@ def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.7, constant: int = 60)
 
 
 def rerank(found: DataFrame, chunks_: DataFrame, queries: DataFrame) -> DataFrame:
-    q = _sent(queries.select("query_id", F.lower("text").alias("q"), F.array_distinct(keywords(F.col("text"))).alias("terms")))
+    q = queries.select("query_id", F.lower("text").alias("q"), F.array_distinct(keywords(F.col("text"))).alias("terms"))
     d = found.join(chunks_.select("chunk_id", "content", "entity_name"), "chunk_id").join(q, "query_id")
     low, name = F.lower("content"), F.lower("entity_name")
     cover = F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: low.contains(t))) / F.size("terms")).otherwise(0.0)
@@ -151,57 +159,220 @@ def format_prompt(kind: str, question: str, context: str) -> str:
 
 
 class MockModel:
-    """A model that repeats what it is asked."""
+    """A model that repeats what it is asked, and of a context the first five headings in brackets."""
+
+    name = "mock-model"
 
     def generate(self, prompt: str, context: str = "") -> str:
-        return f"[mock] {prompt[:200]}"
+        seen = [x.split("]")[0] + "]" for x in context.split("\n") if x.startswith("[") and "]" in x][:5]
+        return "\n".join([f"[mock] {prompt}", *seen])
 
     def generate_stream(self, prompt: str, context: str = ""):
         yield from (w + " " for w in self.generate(prompt, context).split())
 
 
-class Index:
-    """Chunks with embeddings, kept as Parquet if path is given; add() replaces chunks of the same id."""
+@dataclass
+class RetrievalSettings:
+    """What an index does. embedder, model and store are names known to the functions below."""
 
-    def __init__(self, spark, path: str | None = None, model=None, embedder=None, dimension: int = 64):
-        self.spark, self.path, self.model, self.embedder, self.dimension = spark, path, model or MockModel(), embedder, dimension
-        self.chunks: DataFrame | None = None
+    embedder: str = "mock"
+    dimension: int = 64
+    model: str = "auto"
+    store: str = "table"
+    path: str | None = None
+    metric: str = "cosine"
+    chunk_size: int = 1500
+    top_k: int = 10
+    threshold: float = 0.5
+    hybrid: bool = True
+    semantic_weight: float = 0.7
+    rerank: bool = True
+    context: int = 12_000
 
-    def add(self, parsed: DataFrame, clear: bool = False) -> DataFrame:
+    @classmethod
+    def of(cls, **given) -> RetrievalSettings:
+        """Settings with what is given; unknown names are ignored."""
+        return cls(**{k: v for k, v in given.items() if k in cls.__dataclass_fields__})
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+
+EMBEDDERS: dict[str, Callable] = {"mock": lambda s: lambda c: hash_embedding(c, s.dimension)}
+MODELS: dict[str, Callable] = {"mock": lambda s: MockModel()}
+
+
+def _plugged(name: str, known: dict, outside: dict[str, tuple[str, str]], settings: RetrievalSettings):
+    """What is registered under a name. A known outside service without its key, package or plug-in falls back to the mock; other names are errors."""
+    name = name.lower()
+    if name in known:
+        return known[name](settings)
+    if name not in outside:
+        raise ValueError(f"unknown provider: {name}")
+    logging.getLogger(__name__).warning("no plug-in for %s is registered, using the mock", name)
+    return known["mock"](settings)
+
+
+def embedder_for(settings: RetrievalSettings) -> Callable[[Column], Column]:
+    return _plugged(settings.embedder, EMBEDDERS, {"openai": ("OPENAI_API_KEY", "openai"), "sentence-transformers": ("", "sentence_transformers")}, settings)
+
+
+def model_for(settings: RetrievalSettings):
+    """auto takes the first registered model that is not the mock."""
+    name = settings.model.lower()
+    if name == "auto":
+        name = next((k for k in MODELS if k != "mock"), "mock")
+    return _plugged(name, MODELS, dict.fromkeys(("openai", "anthropic", "google", "gemini"), ("", "")), settings)
+
+
+class MemoryStore:
+    """Chunks of this session; a chunk of a known id takes the old one's place."""
+
+    def __init__(self, spark):
+        self.spark, self.held = spark, None
+
+    def read(self) -> DataFrame | None:
+        return self.held
+
+    def add(self, chunks_: DataFrame) -> None:
         from skein.sources.files import upsert
 
-        new = embed(chunks(parsed).dropDuplicates(["chunk_id"]), self.embedder, dimension=self.dimension)
-        if self.chunks is not None and not clear:
-            new = upsert(self.chunks, new, "chunk_id")
-        if self.path:
-            import uuid
+        self.held = (chunks_ if self.held is None else upsert(self.held, chunks_, "chunk_id")).cache()
 
-            at = f"{self.path.rstrip('/')}/{uuid.uuid4().hex}"
-            new.write.parquet(at)
-            new = self.spark.read.parquet(at)
-        else:
-            new = new.cache()
-        self.chunks = new
+    def clear(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+        self.held = None
+
+
+class TableStore:
+    """Chunks as Parquet in a folder that can be opened again; a chunk of a known id takes the old one's place.
+
+    Each change writes a new version beside the last and drops that when it is whole, so a
+    reader or a failed job never meets half a table.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[int]:
+        """Whole versions, in order."""
+        fs, p = self._fs()
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(make(f"{self.path}/{n}/_SUCCESS")))
+
+    def read(self) -> DataFrame | None:
+        v = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
+
+    def add(self, chunks_: DataFrame) -> None:
+        from skein.sources.files import upsert
+
+        v, old = self._versions(), self.read()
+        new = chunks_ if old is None else upsert(old, chunks_, "chunk_id")
+        new.write.parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")
+        self._drop(v)
+
+    def _drop(self, versions: list[int]) -> None:
+        fs, _ = self._fs()
+        for n in versions:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}"), True)
+
+    def clear(self) -> None:
+        self._drop(self._versions())
+
+
+def store_for(spark, settings: RetrievalSettings):
+    if settings.store not in ("table", "memory"):
+        raise ValueError(f"unknown store: {settings.store}")
+    return TableStore(spark, settings.path) if settings.store == "table" and settings.path else MemoryStore(spark)
+
+
+class Index:
+    """Chunks with embeddings in a store; a folder given as path is opened again if it holds an index."""
+
+    def __init__(self, spark, path: str | None = None, model=None, embedder=None, dimension: int = 64, settings: RetrievalSettings | None = None):
+        self.spark = spark
+        self.settings = settings or RetrievalSettings(dimension=dimension, path=path, threshold=0.0)
+        self.store, self.model, self.embedder = store_for(spark, self.settings), model or model_for(self.settings), embedder or embedder_for(self.settings)
+
+    @property
+    def chunks(self) -> DataFrame | None:
+        return self.store.read()
+
+    def is_indexed(self) -> bool:
+        return self.chunks is not None and not self.chunks.isEmpty()
+
+    def add(self, parsed: DataFrame, clear: bool = False) -> DataFrame:
+        if clear:
+            self.store.clear()
+        self.store.add(embed(chunks(parsed, self.settings.chunk_size).dropDuplicates(["chunk_id"]), self.embedder))
         return self.stats()
 
     def stats(self) -> DataFrame:
-        return self.chunks.groupBy("entity_type").count()
+        """entity_type, count"""
+        held = self.chunks
+        return self.spark.createDataFrame([], "entity_type string, count long") if held is None else held.groupBy("entity_type").count()
 
     def clear(self) -> None:
-        self.chunks = None
+        self.store.clear()
 
     def queries(self, *texts: str) -> DataFrame:
         q = self.spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-        return embed(q, self.embedder, "text", self.dimension)
+        return embed(q, self.embedder, "text")
 
-    def search(self, text: str, k: int = 10, entity_type: str | None = None, threshold: float = 0.0) -> DataFrame:
-        c = self.chunks if entity_type is None else self.chunks.where(F.col("entity_type") == entity_type)
-        return hybrid(c, self.queries(text), k, threshold).join(c.drop("embedding"), "chunk_id").orderBy("rank")
+    def _found(self, chunks_: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
+        s, q = self.settings, self.queries(text)
+        if not s.hybrid:
+            return semantic(chunks_, q, k, threshold)
+        f = fuse(semantic(chunks_, q, 2 * k, threshold), keyword(chunks_, q, 2 * k), s.semantic_weight)
+        return (rerank(f, chunks_, q) if s.rerank else f).where(F.col("rank") <= k)
 
-    def ask(self, question: str, kind: str = "qa", k: int = 10, threshold: float = 0.0) -> dict:
-        found = hybrid(self.chunks, self.queries(question), k, threshold)
-        got = contexts(found, self.chunks).first()
-        if got is None:
-            return {"question": question, "answer": "Nothing in the index fits this question.", "sources": []}
+    def search(self, text: str, k: int | None = None, entity_type: str | None = None, threshold: float | None = None) -> DataFrame:
+        c = self.chunks if entity_type is None else self.chunks.where(F.col("entity_type") == entity_type)
+        found = self._found(c, text, k or self.settings.top_k, self.settings.threshold if threshold is None else threshold)
+        return found.join(c.drop("embedding"), "chunk_id").orderBy("rank")
+
+    def _prompt(self, question: str, kind: str, k: int | None, threshold: float | None) -> tuple[str | None, DataFrame]:
+        found = self._found(self.chunks, question, k or self.settings.top_k, self.settings.threshold if threshold is None else threshold)
+        got = contexts(found, self.chunks, self.settings.context).first()
+        return (format_prompt(kind, question, got.context) if got else None), found
+
+    def ask(self, question: str, kind: str = "qa", k: int | None = None, threshold: float | None = None) -> dict:
+        prompt, found = self._prompt(question, kind, k, threshold)
+        if prompt is None:
+            return {"question": question, "answer": NOTHING, "sources": []}
         src = [r.asDict() for r in found.join(self.chunks.select("chunk_id", "file_path", "entity_name"), "chunk_id").orderBy("rank").collect()]  # at most k rows
-        return {"question": question, "answer": self.model.generate(format_prompt(kind, question, got.context)), "sources": src}
+        return {"question": question, "answer": self.model.generate(prompt), "sources": src}
+
+    def ask_stream(self, question: str, kind: str = "qa", k: int | None = None, threshold: float | None = None):
+        """The answer bit by bit, as the model gives it."""
+        prompt, _ = self._prompt(question, kind, k, threshold)
+        if prompt is None:
+            yield NOTHING
+        else:
+            yield from self.model.generate_stream(prompt)
+
+
+NOTHING = "Nothing in the index fits this question."
+
+
+def full_name() -> Column:
+    """A chunk's name with its module and class."""
+    return F.concat_ws(".", "module_name", "parent_name", "entity_name")
+
+
+def prompts(queries: DataFrame, found: DataFrame, chunks_: DataFrame, kind: str = "qa", limit: int = 12_000) -> DataFrame:
+    """query_id, prompt: for many questions at once, without the driver."""
+    form = PROMPTS.get(kind, PROMPTS["qa"])
+    before, _, rest = form.partition("{context}")
+    mid, _, after = rest.partition("{question}")
+    c = contexts(found, chunks_, limit).join(queries.select("query_id", "text"), "query_id")
+    return c.select("query_id", F.concat(F.lit(before), "context", F.lit(mid), "text", F.lit(after)).alias("prompt"))

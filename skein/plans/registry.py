@@ -43,7 +43,7 @@ def _key(name):
     SELECT c_custkey AS file_key, CAST(1 + c_nationkey % 5 AS BIGINT) AS cyclomatic, CAST((c_nationkey % 5) * (c_nationkey % 5 + 1) / 2 AS BIGINT) AS cognitive,
            CAST(c_nationkey % 5 + 1 AS BIGINT) AS max_nesting, 'A' AS rating FROM customer""")
 def _(spark, sf):
-    m = metrics.complexity(extract.ast_nodes(synth.nested_ifs(spark, sf)))
+    m = metrics.complexity(extract.file_numbers(synth.nested_ifs(spark, sf)))
     return m.select(_key("file_key"), F.col("cyclomatic").cast("long").alias("cyclomatic"), "cognitive", "max_nesting", "rating")
 
 
@@ -51,7 +51,7 @@ def _(spark, sf):
     SELECT p_partkey AS file_key, CAST(2 + p_size % 7 + p_size % 3 AS BIGINT) AS total, CAST(p_size % 3 AS BIGINT) AS blank, CAST(2 AS BIGINT) AS source,
            CAST(p_size % 7 + 1 AS BIGINT) AS comments, (p_size % 7 + 1) / 2.0::DOUBLE AS comment_ratio FROM part""")
 def _(spark, sf):
-    d = metrics.loc(extract.line_counts(synth.remarks(spark, sf)))
+    d = metrics.loc(extract.file_numbers(synth.remarks(spark, sf)))
     return d.select(_key("file_key"), "total", "blank", "source", "comments", "comment_ratio")
 
 
@@ -62,7 +62,7 @@ HAL = "SELECT p_partkey AS file_key, CAST(p_size % 10 + 1 AS BIGINT) AS n FROM p
     SELECT file_key, CAST(2 AS BIGINT) AS n1, CAST(3 AS BIGINT) AS n2, 2 * n AS total_operators, 3 * n AS total_operands,
            floor(5 * n * log2(5::DOUBLE) * 1e6 + 0.5) / 1e6 AS volume, floor(1.0::DOUBLE * n * 1e6 + 0.5) / 1e6 AS difficulty, floor(5 * n * log2(5::DOUBLE) / 3000 * 1e6 + 0.5) / 1e6 AS bugs FROM ({HAL})""")
 def _(spark, sf):
-    h = metrics.halstead(extract.ast_nodes(synth.sums(spark, sf)))
+    h = metrics.halstead(extract.file_numbers(synth.sums(spark, sf)))
     return h.select(_key("file_key"), "n1", "n2", F.col("operators").alias("total_operators"), F.col("operands").alias("total_operands"), _r("volume", "volume"), _r("difficulty", "difficulty"), _r("bugs", "bugs"))
 
 
@@ -73,9 +73,7 @@ MI = "(171 - 5.2::DOUBLE * ln(5 * n * log2(5::DOUBLE)) - 0.23::DOUBLE - 16.2::DO
     SELECT file_key, floor(mi * 1e6 + 0.5) / 1e6 AS maintainability, CASE WHEN mi >= 85 THEN 'A' WHEN mi >= 70 THEN 'B' WHEN mi >= 50 THEN 'C' WHEN mi >= 25 THEN 'D' ELSE 'F' END AS rating
     FROM (SELECT file_key, least(100, greatest(0, {MI})) AS mi FROM ({HAL}))""")
 def _(spark, sf):
-    s = synth.sums(spark, sf)
-    n = extract.ast_nodes(s)
-    m = metrics.maintainability(metrics.complexity(n), metrics.loc(extract.line_counts(s)), metrics.halstead(n))
+    m = metrics.maintainability(metrics.file_metrics(synth.sums(spark, sf)))
     return m.select(_key("file_key"), _r("maintainability", "maintainability"), "rating")
 
 
@@ -83,9 +81,7 @@ def _(spark, sf):
     SELECT file_key, (100 + CASE WHEN mi >= 85 THEN 100 WHEN mi >= 70 THEN 80 WHEN mi >= 50 THEN 60 WHEN mi >= 25 THEN 40 ELSE 20 END) / 2.0::DOUBLE AS score
     FROM (SELECT file_key, least(100, greatest(0, {MI})) AS mi FROM ({HAL}))""")
 def _(spark, sf):
-    s = synth.sums(spark, sf)
-    n = extract.ast_nodes(s)
-    m = metrics.maintainability(metrics.complexity(n), metrics.loc(extract.line_counts(s)), metrics.halstead(n))
+    m = metrics.maintainability(metrics.file_metrics(synth.sums(spark, sf)))
     return metrics.quality(m).select(_key("file_key"), "score")
 
 
@@ -180,15 +176,6 @@ def _(spark, sf):
     return patterns.node_smells(extract.ast_nodes(synth.customer_notes(spark, sf))).select(_key("file_key"), "kind", F.col("line").cast("long").alias("line"))
 
 
-@query("l10_commented_code", r"""
-    WITH x AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\r]')) AS raw, generate_subscripts(string_split_regex(text, '\r\n|[\n\r]'), 1) AS line FROM documents),
-    y AS (SELECT doc_id, CAST(line AS BIGINT) AS line, regexp_replace(raw, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS s FROM x)
-    SELECT doc_id, line, substr(s, 1, 50) AS snippet FROM y WHERE s LIKE '#%' AND (regexp_matches(s, '^#\s*(def|class|import|from)\s+\w+') OR regexp_matches(s, '^#\s*(if|for|while|return)\s+.+') OR regexp_matches(s, '^#\s*(\w+\s*=\s*.+|print\s*\()'))""")
-def _(spark, sf):
-    d = patterns.commented_code(read(spark, sf, "documents"), "doc_id", "text")
-    return d.select("doc_id", F.col("line").cast("long").alias("line"), "snippet")
-
-
 # dead code, duplicates, security
 @query("c1_c6_dead_code", """
     SELECT c_custkey AS file_key, 'unreachable_code' AS kind, 'Expr' AS name, CAST(3 AS BIGINT) AS line, 0.95::DOUBLE AS confidence FROM customer WHERE c_custkey % 6 = 2
@@ -200,15 +187,20 @@ def _(spark, sf):
     return d.select(_key("file_key"), "kind", "name", F.col("line").cast("long").alias("line"), "confidence")
 
 
-@query("u1_u5_duplicates", "SELECT count(*) AS n_blocks, CAST(p_size + 1 AS BIGINT) AS line_count FROM part WHERE p_size >= 4 GROUP BY p_size HAVING count(*) > 1")
+SIZES = "SELECT p_size, count(*) AS n FROM part WHERE p_size >= 4 GROUP BY p_size HAVING count(*) > 1"
+
+
+@query("u1_u5_duplicates", f"SELECT n AS n_blocks, CAST(p_size + 1 AS BIGINT) AS line_count, CAST(n * (p_size + 1) AS BIGINT) AS impact FROM ({SIZES})")
 def _(spark, sf):
     p = extract.entities(synth.part_functions(spark, sf))
-    return findings.duplicates(findings.entity_blocks(extract.callables(p))).select("n_blocks", "line_count")
+    return findings.duplicates(findings.entity_blocks(extract.callables(p))).select("n_blocks", "line_count", "impact")
 
 
-@query("u3_structural_duplicates", "SELECT count(*) AS n_blocks, CAST(p_size + 1 AS BIGINT) AS line_count FROM part WHERE p_size >= 4 GROUP BY p_size HAVING count(*) > 1")
+@query("u3_structural_duplicates", f"""
+    SELECT CAST(p_partkey AS BIGINT) AS file_key, 'g' || p_partkey AS name, CAST(1 AS BIGINT) AS start_line, CAST(p_size + 1 AS BIGINT) AS end_line FROM part WHERE p_size IN (SELECT p_size FROM ({SIZES}))""")
 def _(spark, sf):
-    return findings.duplicates(extract.code_blocks(synth.part_functions(spark, sf))).select("n_blocks", "line_count")
+    m = findings.duplicate_members(extract.code_blocks(synth.part_functions(spark, sf)))
+    return m.select(_key("file_key"), "name", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")))
 
 
 @query("v1_v4_call_vulnerabilities", """
@@ -217,7 +209,7 @@ def _(spark, sf):
            CASE o_orderkey % 8 WHEN 1 THEN 'critical' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'medium' ELSE 'high' END AS severity
     FROM orders WHERE o_orderkey % 8 NOT IN (5, 7)""")
 def _(spark, sf):
-    c = extract.callables(extract.entities(synth.order_calls(spark, sf)))
+    c = extract.callables(extract.entities(synth.order_calls(spark, sf), light=True))
     return findings.call_vulnerabilities(c).select(_key("file_key"), "call", "cwe", "severity")
 
 
@@ -321,16 +313,24 @@ def _(spark, sf):
 
 @query("g12_recursive_nodes", "SELECT CAST(n_nationkey AS VARCHAR) AS node, CAST((SELECT min(CAST(m.n_nationkey AS VARCHAR)) FROM nation m WHERE m.n_regionkey = n.n_regionkey) AS VARCHAR) AS scc FROM nation n")
 def _(spark, sf):
-    c = graph.closure(_nations(spark, sf))
-    return graph.recursive_nodes(c).join(graph.components(c), "node")
+    return graph.strong_components(_nations(spark, sf))
 
 
 @query("g20_diamonds", """
-    SELECT s_suppkey AS node, CAST(-1 AS BIGINT) AS ancestor FROM supplier""")
-def _(spark, sf):
-    s = read(spark, sf, "supplier").select("s_suppkey", (-10 - F.col("s_nationkey")).cast("long").alias("n"))
-    e = s.select(F.col("s_suppkey").alias("src"), F.col("n").alias("dst")).union(s.select("s_suppkey", F.lit(-2).cast("long"))).union(s.select("n", F.lit(-1).cast("long"))).union(s.select(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).distinct()
-    return graph.diamonds(e, graph.closure(e))
+    SELECT s_suppkey AS node, CAST(-100 - n_regionkey AS BIGINT) AS ancestor FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 1
+           AND n_regionkey = (SELECT m.n_regionkey FROM nation m WHERE m.n_nationkey = (s_nationkey + 1) % 25)
+    UNION ALL SELECT s_suppkey, -1000 FROM supplier WHERE s_suppkey % 2 = 1""")
+def _(spark, sf):
+    """Suppliers inherit from their nation and, odd ones, from the next; nations from their region; regions from one root."""
+    s, n = read(spark, sf, "supplier"), read(spark, sf, "nation")
+    own = s.select(F.col("s_suppkey").alias("src"), (-F.col("s_nationkey") - 1).cast("long").alias("dst"))
+    nxt = s.select("s_suppkey", (-F.pmod(F.col("s_nationkey") + F.col("s_suppkey") % 2, F.lit(25)) - 1).cast("long"))
+    up = n.select((-F.col("n_nationkey") - 1).cast("long"), (-100 - F.col("n_regionkey")).cast("long"))
+    top = n.select((-100 - F.col("n_regionkey")).cast("long"), F.lit(-1000).cast("long"))
+    e = own.union(nxt).union(up).union(top).distinct()
+    many = e.groupBy(F.col("src").alias("node")).count().where("count > 1")
+    par = e.join(many.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
+    return graph.diamonds(e, graph.closure(e, start=par))
 
 
 # lookup and reports
@@ -507,11 +507,26 @@ def _(spark, sf):
     return retrieval.rerank(retrieval.keyword(d, q, 10), d, q).select("query_id", "chunk_id", _r("score", "score"))
 
 
-@query("t9_hybrid")
+def _vectors(text, of):
+    """The stand-in embedding in SQL, 8 numbers."""
+    return f"SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256({text}), CAST(i * 2 + 1 AS INT), 2))::INT / 127.5::DOUBLE - 1) AS v FROM {of}"
+
+
+@query("t9_hybrid", f"""
+    WITH {KEYWORD}, dv AS ({_vectors("text", "(SELECT CAST(turn AS VARCHAR) || ':' || conv_id AS chunk_id, text, lower(role) AS name FROM conversations)")}), qv AS ({_vectors("text", "(SELECT item_id AS query_id, text FROM benchmark)")}),
+    sc AS (SELECT query_id, chunk_id, list_cosine_similarity(dv.v, qv.v) AS s FROM dv, qv),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r1 FROM sc), se AS (SELECT query_id, chunk_id, r1 FROM sr WHERE r1 <= 20 AND s >= 0),
+    ke AS (SELECT query_id, chunk_id, rank AS r2 FROM kw WHERE rank <= 20),
+    fu AS (SELECT query_id, chunk_id, coalesce(0.7::DOUBLE / (60 + r1), 0) + coalesce((1 - 0.7::DOUBLE) / (60 + r2), 0) AS f, r1, r2 FROM se FULL JOIN ke USING (query_id, chunk_id)),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank0 FROM fu),
+    u AS (SELECT query_id, list_distinct(terms) AS terms FROM q), b AS (SELECT item_id AS query_id, lower(text) AS qt FROM benchmark),
+    re AS (SELECT fr.query_id, fr.chunk_id, fr.rank0, f + CASE WHEN contains(d.low, b.qt) THEN 0.3 ELSE 0 END::DOUBLE + 0.2::DOUBLE * coalesce(len(list_filter(u.terms, lambda t: contains(d.low, t))) / nullif(len(u.terms), 0)::DOUBLE, 0)
+           + CASE WHEN len(list_filter(u.terms, lambda t: contains(dv.name, t))) > 0 THEN 0.2 ELSE 0 END::DOUBLE AS score FROM fr JOIN d USING (chunk_id) JOIN dv USING (chunk_id) JOIN u USING (query_id) JOIN b USING (query_id))
+    SELECT query_id, floor(score * 1e6 + 0.5) / 1e6 AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank0) AS rank FROM re) WHERE rank <= 10""")
 def _(spark, sf):
-    d = retrieval.embed(read(spark, sf, "conversations").select(F.concat(F.col("turn").cast("string"), F.lit(":"), "conv_id").alias("chunk_id"), F.col("text").alias("content"), F.col("role").alias("entity_name")))
-    q = retrieval.embed(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), col="text")
-    return retrieval.hybrid(d, q, threshold=0.0).select("query_id", "chunk_id", "rank", _r("score", "score"))
+    d = retrieval.embed(read(spark, sf, "conversations").select(F.concat(F.col("turn").cast("string"), F.lit(":"), "conv_id").alias("chunk_id"), F.col("text").alias("content"), F.col("role").alias("entity_name")), dimension=8)
+    q = retrieval.embed(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), col="text", dimension=8)
+    return retrieval.hybrid(d, q, threshold=0.0).select("query_id", F.col("rank").cast("long").alias("rank"), _r("score", "score"))
 
 
 @query("x8_decorators", """
@@ -605,6 +620,9 @@ def _(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", T.is_test_path(path).alias("is_test"), T.visibility(name).alias("visibility"))
 
 
+from skein.plans import cases  # noqa: E402, F401  (its queries enter themselves)
+
+
 def flagship(spark, sf_dir):
     return QUERIES["v1_v4_call_vulnerabilities"](spark, sf_dir).orderBy("file_key")
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.runtime import read
+from skein.runtime import read as _read
+
+
+def read(spark, sf, name) -> DataFrame:
+    """A table, spread over all cores: what is made of its rows costs far more than the rows."""
+    return _read(spark, sf, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def many(n: Column, line) -> Column:

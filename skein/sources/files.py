@@ -75,6 +75,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+CONFIG = ("skein.json", "skein.yaml", "skein.yml", ".skein.json", ".skein.yaml")
+
+
 @dataclass
 class Settings:
     """What the engine does. Files may hold any of these names; SKEIN_<NAME> in the environment wins."""
@@ -106,6 +109,15 @@ class Settings:
                 setattr(s, k, x.lower() in ("1", "true", "yes") if isinstance(old, bool) else type(old)(x.split(",") if isinstance(old, list) else x))
         return s
 
+    @classmethod
+    def discover(cls, start=None, env=os.environ) -> Settings:
+        """Settings from the first file named CONFIG in start, the working folder or the home folder, else the defaults."""
+        for d in (Path(start) if start else Path.cwd(), Path.cwd(), Path.home()):
+            for name in CONFIG:
+                if (d / name).is_file():
+                    return cls.load(str(d / name), env)
+        return cls.load(None, env)
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
 
@@ -116,7 +128,10 @@ DEMO = {
     "shop/users.py": '"""People."""\nfrom shop.cart import Cart\n\nPASSWORD = "hunter2-forever"\n\n\ndef login(name: str, word: str) -> bool:\n    """Let someone in."""\n    return word == PASSWORD\n\n\nasync def fetch(url):\n    """Get a page."""\n    return eval(url)\n',
     "shop/flow.py": '"""Steps over rows."""\nimport json\n\n\ndef load(text):\n    """Rows of a text."""\n    for row in json.loads(text):\n        if row:\n            yield row\n',
 }
-QUESTIONS = ["How is a total computed?", "Where do people log in?", "Which function reads rows?", "What does Cart do?"]
+QUESTIONS = [
+    "How is a total computed?", "Where do people log in?", "Which function reads rows?", "What does Cart do?",
+    "How do I empty a cart?", "Is there anything unsafe here?", "Which module is asynchronous?", "What is the limit of a cart?",
+]
 
 
 def demo_sources(spark: SparkSession) -> DataFrame:

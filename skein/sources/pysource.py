@@ -15,11 +15,11 @@ PARAM = "name:string,annotation:string,default:string,kind:string"
 DECO = "name:string,arguments:array<string>,keywords:map<string,string>"
 CALLABLE = (
     f"ord:int,class_ord:int,kind:string,name:string,entity_type:string,visibility:string,params:array<struct<{PARAM}>>,returns:string,decorators:array<struct<{DECO}>>,"
-    "is_async:boolean,is_generator:boolean,is_static:boolean,is_classmethod:boolean,is_property:boolean,is_abstract:boolean,calls:array<string>,locals:array<string>,doc:string,start_line:int,end_line:int"
+    "is_async:boolean,is_generator:boolean,is_static:boolean,is_classmethod:boolean,is_property:boolean,is_abstract:boolean,calls:array<string>,locals:array<string>,doc:string,start_line:int,end_line:int,start_col:int,end_col:int"
 )
-CLASS = f"ord:int,parent_ord:int,depth:int,name:string,visibility:string,bases:array<string>,decorators:array<struct<{DECO}>>,is_abstract:boolean,is_dataclass:boolean,doc:string,start_line:int,end_line:int"
-IMPORT = "ord:int,module:string,name:string,alias:string,is_from:boolean,level:int,line:int"
-VARIABLE = "ord:int,class_ord:int,scope:string,name:string,annotation:string,value:string,is_constant:boolean,visibility:string,line:int"
+CLASS = f"ord:int,parent_ord:int,depth:int,name:string,visibility:string,bases:array<string>,decorators:array<struct<{DECO}>>,is_abstract:boolean,is_dataclass:boolean,doc:string,start_line:int,end_line:int,start_col:int,end_col:int"
+IMPORT = "ord:int,module:string,name:string,alias:string,is_from:boolean,level:int,line:int,col:int"
+VARIABLE = "ord:int,class_ord:int,scope:string,name:string,annotation:string,value:string,is_constant:boolean,visibility:string,line:int,col:int"
 ENTITIES = (
     f"file_path string, name string, total_lines int, doc string, error string, error_line int, classes array<struct<{CLASS}>>, callables array<struct<{CALLABLE}>>, "
     f"imports array<struct<{IMPORT}>>, variables array<struct<{VARIABLE}>>"
@@ -82,7 +82,10 @@ def _decorator(d: ast.AST) -> dict:
 
 
 class _Reader:
-    def __init__(self) -> None:
+    """Collects entities. light: without what only a rendering of source gives (parameters, return types, docstrings, local names)."""
+
+    def __init__(self, light: bool = False) -> None:
+        self.light = light
         self.classes: list[dict] = []
         self.callables: list[dict] = []
         self.imports: list[dict] = []
@@ -97,10 +100,10 @@ class _Reader:
                 self.function(s, None)
             elif isinstance(s, ast.Import):
                 for x in s.names:
-                    self.imports.append({"ord": len(self.imports), "module": x.name, "name": None, "alias": x.asname, "is_from": False, "level": 0, "line": s.lineno})
+                    self.imports.append({"ord": len(self.imports), "module": x.name, "name": None, "alias": x.asname, "is_from": False, "level": 0, "line": s.lineno, "col": s.col_offset})
             elif isinstance(s, ast.ImportFrom):
                 for x in s.names:
-                    self.imports.append({"ord": len(self.imports), "module": s.module or "", "name": x.name, "alias": x.asname, "is_from": True, "level": s.level or 0, "line": s.lineno})
+                    self.imports.append({"ord": len(self.imports), "module": s.module or "", "name": x.name, "alias": x.asname, "is_from": True, "level": s.level or 0, "line": s.lineno, "col": s.col_offset})
             elif isinstance(s, (ast.Assign, ast.AnnAssign)):
                 self.variable(s, None, "module")
             else:
@@ -115,7 +118,7 @@ class _Reader:
         self.classes.append({
             "ord": at, "parent_ord": parent, "depth": depth, "name": n.name, "visibility": visibility(n.name), "bases": bases, "decorators": decos,
             "is_abstract": bool(names & {"abstractmethod", "ABC"} or {*bases} & {"ABC", "abc.ABC"}), "is_dataclass": "dataclass" in names,
-            "doc": ast.get_docstring(n, clean=True), "start_line": n.lineno, "end_line": n.end_lineno,
+            "doc": ast.get_docstring(n, clean=True), "start_line": n.lineno, "end_line": n.end_lineno, "start_col": n.col_offset, "end_col": n.end_col_offset,
         })
         for s in n.body:
             if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -132,21 +135,22 @@ class _Reader:
         order = [("static_method", "staticmethod" in names), ("class_method", "classmethod" in names), ("property", "property" in names)] if owner is not None else []
         kinds = [k for k, yes in [*order, ("async_" + kind, coro)] if yes]
         locals_ = []
-        if owner is None:
+        if owner is None and not self.light:
             for x in inside:
                 targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AnnAssign) else []
                 for t in targets:
                     locals_ += [e.id for e in (t.elts if isinstance(t, ast.Tuple) else [t]) if isinstance(e, ast.Name)]
         self.callables.append({
             "ord": len(self.callables), "class_ord": owner, "kind": kind, "name": n.name, "entity_type": kinds[0] if kinds else kind, "visibility": visibility(n.name),
-            "params": _params(n.args), "returns": source(n.returns), "decorators": decos, "is_async": coro, "is_generator": any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in inside),
+            "params": [] if self.light else _params(n.args), "returns": None if self.light else source(n.returns), "decorators": decos, "is_async": coro, "is_generator": any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in inside),
             "is_static": "staticmethod" in names, "is_classmethod": "classmethod" in names, "is_property": "property" in names, "is_abstract": "abstractmethod" in names,
-            "calls": sorted({c for x in inside if isinstance(x, ast.Call) and (c := dotted(x.func))}), "locals": locals_, "doc": ast.get_docstring(n, clean=True), "start_line": n.lineno, "end_line": n.end_lineno,
+            "calls": sorted({c for x in inside if isinstance(x, ast.Call) and (c := dotted(x.func))}), "locals": locals_, "doc": None if self.light else ast.get_docstring(n, clean=True),
+            "start_line": n.lineno, "end_line": n.end_lineno, "start_col": n.col_offset, "end_col": n.end_col_offset,
         })
 
     def variable(self, s, owner: int | None, scope: str) -> None:
         def put(name, value, annotation, constant):
-            self.variables.append({"ord": len(self.variables), "class_ord": owner, "scope": scope, "name": name, "annotation": annotation, "value": value, "is_constant": constant, "visibility": visibility(name), "line": s.lineno})
+            self.variables.append({"ord": len(self.variables), "class_ord": owner, "scope": scope, "name": name, "annotation": annotation, "value": value, "is_constant": constant, "visibility": visibility(name), "line": s.lineno, "col": s.col_offset})
 
         if isinstance(s, ast.AnnAssign):
             if isinstance(s.target, ast.Name):
@@ -165,9 +169,9 @@ def _error(e: Exception) -> tuple[str, int | None]:
     return f"{type(e).__name__}: {getattr(e, 'msg', None) or e}", getattr(e, "lineno", None)
 
 
-def entities(path: str, text: str | None) -> dict:
+def entities(path: str, text: str | None, light: bool = False) -> dict:
     row = {"file_path": path, "name": PurePosixPath(path or "").stem, "total_lines": len((text or "").splitlines()), "doc": None, "error": None, "error_line": None}
-    r = _Reader()
+    r = _Reader(light)
     try:
         tree = ast.parse(text or "")
         row["doc"] = ast.get_docstring(tree, clean=True)
@@ -279,10 +283,21 @@ def nodes(path: str, text: str | None) -> dict:
     for n in ast.walk(tree):
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             _unreachable(n.body, dead)
-    todo = [(tree, None, "", 0, 0, 0)]  # an explicit stack: deep trees must not end the task
+    for me, (n, parent, block, k, inc, deep) in enumerate(_visit(tree)):
+        ops, own = _halstead(n)
+        found = _rule(n, lines) + ([("unreachable", "")] if id(n) in dead else [])
+        row = {"id": me, "parent": parent, "block": block, "ord": k, "kind": type(n).__name__, "line": getattr(n, "lineno", None), "cyclomatic": _cyclomatic(n), "cognitive": inc, "nesting": deep, "operators": ops, "operands": own}
+        out.append(row | {"rule": found[0][0] if found else None, "detail": found[0][1] if found else None})
+        out += [row | {"cyclomatic": 0, "cognitive": 0, "operators": [], "operands": [], "rule": r, "detail": d} for r, d in found[1:]]
+    return {"file_path": path, "error": None, "nodes": out}
+
+
+def _visit(tree: ast.AST):
+    """Nodes in order: (node, its parent's number, field, place, cognitive increment, nesting). An explicit stack: deep trees must not end the task."""
+    todo, me = [(tree, None, "", 0, 0, 0)], 0
     while todo:
         n, parent, block, k, cog, deep = todo.pop()
-        me, inc, below = len(out), 0, cog
+        inc, below = 0, cog
         if isinstance(n, (*_LOOPS, ast.ExceptHandler)):
             inc, below = 1 + cog, cog + 1
         elif isinstance(n, (ast.Try, ast.Lambda, ast.With, ast.AsyncWith)):
@@ -294,16 +309,34 @@ def nodes(path: str, text: str | None) -> dict:
         elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and cog:
             below = cog + 1
         deep += isinstance(n, _NESTS)
-        ops, own = _halstead(n)
-        found = _rule(n, lines) + ([("unreachable", "")] if id(n) in dead else [])
-        row = {"id": me, "parent": parent, "block": block, "ord": k, "kind": type(n).__name__, "line": getattr(n, "lineno", None), "cyclomatic": _cyclomatic(n), "cognitive": inc, "nesting": deep, "operators": ops, "operands": own}
-        out.append(row | {"rule": found[0][0] if found else None, "detail": found[0][1] if found else None})
-        out += [row | {"id": me, "cyclomatic": 0, "cognitive": 0, "operators": [], "operands": [], "rule": r, "detail": d} for r, d in found[1:]]
+        yield n, parent, block, k, inc, deep
         for f, v in reversed(list(ast.iter_fields(n))):
             for i, x in reversed(list(enumerate(v))) if isinstance(v, list) else ((0, v),):
                 if isinstance(x, ast.AST):
                     todo.append((x, me, f, i, below, deep))
-    return {"file_path": path, "error": None, "nodes": out}
+        me += 1
+
+
+NUMBERS = "file_path string, error string, cyclomatic long, cognitive long, max_nesting long, n1 long, n2 long, operators long, operands long, total long, blank long, hash_lines long, comment_lines long, docstring_lines long"
+
+
+def numbers(path: str, text: str | None) -> dict:
+    """All counts of a file, from one parse: what metrics are made of. A file that does not parse has the numbers of an empty tree."""
+    row = {"file_path": path, "error": None, "cyclomatic": 1, "cognitive": 0, "max_nesting": 0}
+    ops: list[str] = []
+    own: list[str] = []
+    try:
+        for n, _, _, _, inc, deep in _visit(ast.parse(text or "")):
+            row["cyclomatic"] += _cyclomatic(n)
+            row["cognitive"] += inc
+            row["max_nesting"] = max(row["max_nesting"], deep)
+            a, b = _halstead(n)
+            ops += a
+            own += b
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        row["error"] = _error(e)[0]
+    row |= {"n1": len(set(ops)), "n2": len(set(own)), "operators": len(ops), "operands": len(own)}
+    return row | {k: v for k, v in tokens(path, text).items() if k not in ("file_path", "error")}
 
 
 def tokens(path: str, text: str | None) -> dict:

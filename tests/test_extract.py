@@ -96,7 +96,8 @@ def test_rules(spark):
 def test_duplicates_drop_overlaps(spark):
     b = spark.createDataFrame([("a", "x", 1, 9, "h"), ("a", "y", 5, 12, "h"), ("b", "z", 1, 9, "h"), ("c", "w", 1, 9, "g"), ("c", "v", 3, 9, "g")], "file_path string, name string, start_line int, end_line int, hash string")
     got = findings.duplicates(b).collect()
-    assert [(r.hash, r.n_blocks, [m.name for m in r.members]) for r in got] == [("h", 2, ["x", "z"])]
+    assert [(r.hash, r.n_blocks, r.line_count, r.first_file) for r in got] == [("h", 2, 9, "a")]
+    assert sorted((r.hash, r.file_path, r.name) for r in findings.duplicate_members(b).collect()) == [("h", "a", "x"), ("h", "b", "z")]
 
 
 def test_relative_imports_and_graph(spark):
@@ -106,15 +107,54 @@ def test_relative_imports_and_graph(spark):
     assert got["p/__init__.py", "a.f"] == ("local", "p/a.py") and got["p/a.py", "q.c"] == ("local", "q.py") and got["p/a.py", "p.b"] == ("local", "p/b.py") and got["p/b.py", "nowhere"] == ("third_party", None)
     e = graph.module_edges(i)
     assert {(r.src, r.dst) for r in e.collect()} >= {("p/a.py", "p/b.py"), ("p/b.py", "p/a.py"), ("p/__init__.py", "p/a.py")}
-    c = graph.closure(e)
-    assert {r.node for r in graph.recursive_nodes(c).collect()} >= {"p/a.py", "p/b.py"}
+    assert {r.node for r in graph.recursive_nodes(e).collect()} >= {"p/a.py", "p/b.py"}
 
 
 def test_graph_orders():
     g = {"a": ["b", "c"], "b": ["d"], "c": ["d"], "d": []}
-    assert graph._kahn(g) == ["a", "b", "c", "d"] and graph._depth(g, "a") == 2 and graph._call_depth(g, "a", frozenset()) == 2
+    assert graph._kahn(g) == ["a", "b", "c", "d"] and graph._depth(g, "a") == 2 and graph._call_depths(g) == {"a": 2, "b": 1, "c": 1, "d": 0}
     assert graph._cycles({"a": ["b"], "b": ["c"], "c": ["a", "b"]}) == [["a", "b", "c", "a"], ["b", "c", "b"]]
-    assert graph._call_depth({"a": ["a"]}, "a", frozenset()) == 1
+    assert graph._call_depths({"a": ["a"]}) == {"a": 1}
+    chain = {str(k): [str(k + 1)] for k in range(3000)} | {"3000": []}
+    assert graph._call_depths(chain)["0"] == 3000 and graph._depth(chain, "0") == 3000
+
+
+def test_call_depths_equal_the_recursive_rule():
+    import random
+
+    def rule(g, n, path):
+        return 0 if n in path else max((1 + rule(g, d, path | {n}) for d in g[n]), default=0)
+
+    rng = random.Random(1)
+    for _ in range(60):
+        g = {str(k): [str(x) for x in rng.sample(range(7), rng.randrange(3))] for k in range(7)}
+        assert graph._call_depths(g) == {n: rule(g, n, frozenset()) for n in g}
+
+
+def test_strong_and_weak_components(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(48)] + [(50, 50), (60, 61)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    nodes = {x for p in edges for x in p}
+    reach = {n: set() for n in nodes}
+    for n in nodes:
+        todo = [n]
+        while todo:
+            for d in {b for a, b in edges if a == todo[-1]} - reach[n] if todo else ():
+                reach[n].add(d)
+                todo.insert(0, d)
+            todo.pop()
+    want = {n: min({m for m in reach[n] if n in reach[m]} | {n}) for n in nodes if n in reach[n]}
+    assert {r.node: r.scc for r in graph.strong_components(e).collect()} == want
+    pairs = {(r.src, r.dst) for r in graph.closure(e).collect()}
+    assert pairs == {(n, d) for n in nodes for d in reach[n]}
+    assert {(r.src, r.dst) for r in graph.closure(e, start=spark.createDataFrame([(60,), (50,)], "node long")).collect()} == {(60, 61), (50, 50)}
+    root = {r.node: r.root for r in graph.connected(e).collect()}
+    assert set(root) == nodes and all(root[a] == root[b] for a, b in edges) and all(root[root[n]] == root[n] <= n for n in nodes)
+    assert len(set(root.values())) == len(nodes) - sum(1 for n in nodes if root[n] != n)
+    assert graph.connected(e.where("false")).count() == 0 and graph.strong_components(e.where("false")).count() == 0
 
 
 def test_directory_engine_and_cache(spark, tmp_path):
