@@ -47,7 +47,7 @@ _CONTEXT = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
 _HOT = np.zeros(256, bool)
 _HOT[[64, *range(48, 58)]] = True
 SEND = 100_000  # patterns sent to all tasks at most
-SIDE = 48  # characters of context on either side; a token cut by this bound is read as cut
+SIDE = 48  # characters of context read first; more are read where a token may go on
 
 
 def luhn(digits: str) -> bool:
@@ -105,14 +105,29 @@ def candidates(t: str, base) -> list[tuple[int, int]]:
 
 
 def shape(x: str) -> str:
-    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", x))))[:12] if len(x) < 60 else "long"
+    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", x))))
+
+
+def _before(t: str, a: int) -> list[str]:
+    """The last two tokens before place a, whole."""
+    size = SIDE
+    while True:
+        lo = max(0, a - size)
+        found = list(_CONTEXT.finditer(t, lo, a))
+        if not lo or len(found) > 2 or (len(found) == 2 and found[0].start() > lo):
+            return [m[0].lower() for m in found[-2:]]
+        size *= 4
+
+
+def _after(t: str, e: int) -> str | None:
+    """The first token from place e, whole."""
+    m = _CONTEXT.search(t, e)
+    return m[0].lower() if m else None
 
 
 def patterns(t: str, a: int, e: int) -> list[str]:
-    left = [x.lower() for x in _CONTEXT.findall(t[max(0, a - SIDE) : a])]
-    right = [x.lower() for x in _CONTEXT.findall(t[e : e + SIDE])]
-    one, two, nxt = (left[-1:] or ["^"])[0], (["^", "^", *left])[-2:], (right[:1] or ["$"])[0]
-    return [f"L2 {two[0]} {two[1]}", f"LR {one} {nxt}", f"LS {one} {shape(t[a:e])}"]
+    two = ["^", "^", *_before(t, a)][-2:]
+    return [f"L2 {two[0]} {two[1]}", f"LR {two[1]} {_after(t, e) or '$'}", f"LS {two[1]} {shape(t[a:e])}"]
 
 
 def rows(col):

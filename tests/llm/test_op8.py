@@ -5,7 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm.pii import base_spans, find, learn, luhn, redact
+from skein.llm.pii import base_spans, candidates, find, learn, luhn, patterns, redact
 
 
 def brute(t):
@@ -76,3 +76,58 @@ def test_small_context_beside_a_hot_source(spark):
     assert sorted(map(str, find(docs, many).collect())) == sorted(map(str, one.collect()))
     assert redact(docs, many).columns == docs.columns
     assert sorted(map(str, redact(docs, many).collect())) == sorted(map(str, redact(docs, kept).collect()))
+
+
+def brute_patterns(texts, rounds=3, threshold=0.7, least=3):
+    """The bootstrap over plain dictionaries."""
+    import math
+
+    links = {}
+    for t in texts:
+        t = t or ""
+        base = base_spans(t)
+        for a, e, s in [(a, e, True) for _, a, e in base] + [(a, e, bool(re.fullmatch(r"(?=[0-9]*[a-f])[0-9a-f]{16,}", t[a:e]))) for a, e in candidates(t, base)]:
+            toks = [x.lower() for x in re.findall(r"[^\W\d_]+|[0-9]+|[^\w\s]|_", t[:a])][-2:]
+            toks = ["^", "^", *toks][-2:]
+            nxt = ([x.lower() for x in re.findall(r"[^\W\d_]+|[0-9]+|[^\w\s]|_", t[e:])][:1] or ["$"])[0]
+            form = "".join("9" if c.isdigit() else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in t[a:e])
+            form = re.sub(r"(.)\1+", r"\1+", form)
+            for p in (f"L2 {toks[0]} {toks[1]}", f"LR {toks[1]} {nxt}", f"LS {toks[1]} {form}"):
+                links[p, t[a:e]] = links.get((p, t[a:e]), False) or s
+    size = {}
+    for p, _ in links:
+        size[p] = size.get(p, 0) + 1
+    held = {k: float(v) for k, v in links.items() if size[k[0]] >= least}
+    sure = dict(held)
+    for k in range(rounds):
+        score = {p: sum(v for (q, _), v in sure.items() if q == p) / (size[p] + 1) for p, _ in held}
+        if k == rounds - 1:
+            break
+        by = {}
+        for p, i in held:
+            by.setdefault(i, []).append(p)
+        now = {i: max(max(held[p, i] for p in ps), 1 - math.prod(1 - min(0.9 * score[p], 0.99) for p in ps)) for i, ps in by.items()}
+        sure = {(p, i): now[i] for p, i in held}
+    return sorted(p for p, s in score.items() if s >= threshold)
+
+
+def test_patterns_and_spans_equal_brute_force(spark):
+    rng = random.Random(11)
+    hexa = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    forms = ['key = "{}" end', "id: {} .", "user {} said", "on {} we", "x" * 60 + " ref {} " + "y" * 70]
+    things = [hexa, lambda: f"AB-{rng.randrange(10**6)}", lambda: f"2024-0{rng.randrange(1, 9)}-11", lambda: f"u{rng.randrange(99)}@mail.example", lambda: f"10.0.{rng.randrange(256)}.7"]
+    texts = [" ".join(rng.choice(forms[: 3 + 2 * (i % 2)]).format(rng.choice(things)()) for _ in range(rng.randrange(1, 6))) for i in range(120)] + [None, "", "9" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = learn(docs)
+    assert kept == brute_patterns(texts) and len(kept) > 5
+    got = {r.doc_id: r.spans for r in find(docs, kept).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t or "")
+        own = [("id", a, e) for a, e in candidates(t or "", base) if set(patterns(t, a, e)) & set(kept)]
+        assert got[i] == ",".join(f"{k}:{a}:{e}" for k, a, e in base + own)
+
+
+def test_context_has_no_bound():
+    t = "alpha " + "b" * 500 + " " * 300 + "ID-12345" + " " * 400 + "c" * 300
+    a = t.index("ID-")
+    assert patterns(t, a, a + 8) == [f"L2 alpha {'b' * 500}", f"LR {'b' * 500} {'c' * 300}", f"LS {'b' * 500} A+-9+"]
