@@ -56,3 +56,48 @@ def test_edges(spark):
     none = fit_quality(docs, lab.where("false"), crc_mod(F.col("doc_id"), 4) != 2)
     assert [r.score for r in score_quality(docs, none).collect()] == [0.5] * 4
     assert score_quality(docs.where("false"), none).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text by plain Python over its bytes."""
+    import math
+    import re
+    from collections import Counter
+
+    b = (text or "").encode()
+    n = max(len(b), 1)
+    count = lambda chars: sum(x in chars for x in b)
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", b)]
+    words = [bytes(x + 32 if 65 <= x <= 90 else x for x in w) for w in words]
+    spaced = re.findall(rb"[^\x20\x09-\x0d]+", b)
+    lines = [x for x in b.split(b"\n") if x.strip(b"\x00")]
+    k, top = max(len(words), 1), Counter(words)
+    pairs, ln = set(zip(words, words[1:])), [len(w) for w in words]
+    mean = sum(ln) / k
+    odd = set(b"!|*&#$%@^~<>{}[]\\=+")
+    stop = count(b".")
+    return [
+        math.log1p(len(b)), math.log1p(len(words)), mean, math.sqrt(max(sum(x * x for x in ln) / k - mean**2, 0)), count(bytes(range(65, 91))) / n, count(b"0123456789") / n, count(b"!") / n, count(b"*&#$%@^~<>{}[]\\=+") / n, count(b"|") / n,
+        stop / n, count(b",;:") / n, count(b"\n") / n, count(bytes(range(128, 256))) / n, count(b" \t\r") / n, len(top) / k, max(top.values(), default=0) / k, sum(x == y for x, y in zip(words, words[1:])) / k,
+        len(pairs) / max(len(words) - 1, 1), math.log1p(len(lines)), len(set(lines)) / max(len(lines), 1), max(Counter(lines).values(), default=0) / max(len(lines), 1), sum(bool(set(w) & odd) for w in spaced) / max(len(spaced), 1), sum(x <= 3 for x in ln) / k,
+        math.log1p(len(words) / (stop + 1)), count(b"\"'`") / n,
+    ]
+
+
+def test_scores_equal_plain_python(spark):
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a\n\na a!! |\n"), (-4, "a\n\na a!! |\n")], "doc_id long, text string"))
+    rows = docs.orderBy("doc_id").limit(80).collect()
+    trees = fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_quality(some, trees).collect()}
+    for r in rows:
+        x, total = plain_statistics(r.text), trees.start
+        for at in trees.roots:
+            while trees.feature[at] >= 0:
+                at = trees.left[at] + (x[trees.feature[at]] > trees.cut[at])
+            total += trees.value[at]
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-total)), abs_tol=1e-9), r.doc_id
+    assert got[-3] == got[-4]  # equal texts, equal scores

@@ -74,3 +74,38 @@ def test_keep_one_on_odd_rows(spark):
 
     df = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "y"), (2, "a b c d", "x"), (None, "a b c d", "z"), (3, None, "q"), (4, "", "r"), (5, "other words here now", None)], "doc_id long, text string, fp string")
     assert sorted((r.doc_id for r in keep_one(df).collect()), key=str) == [1, 3, 5, None]
+
+
+def odd(spark, at, rows):
+    """Tables with nulls, repeated rows and columns that clash with names used inside."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, y int, score double, _th string, fp long, h long, low long, part int, spans string"
+    docs = spark.createDataFrame([(*r, None, None, len(r[1] or ""), 7, 0.5, "t", 1, 2, 3, 4, "s") for r in rows], names)
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (None, "x y z"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return docs
+
+
+def test_odd_rows_through_the_stages(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, "plain words of a text"), (1, "plain words of a text"), (1, "quite other words under the same id"), (2, None), (2, None), (3, ""), (None, "no id here"), (None, "no id here"), (4, "before " + item + " after"), (5, "mail me at a.b@c.de now"), (6, "long " * 30_000), (None, None)]
+    docs = odd(spark, tmp_path, rows)
+    kept = docs
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        f(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/kept{k}")
+        kept = spark.read.parquet(f"{tmp_path}/kept{k}")
+        assert kept.columns == docs.columns, name
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(1, rows[0][1]), (1, rows[2][1]), (2, None), (None, "no id here"), (None, "no id here"), (5, "mail me at <EMAIL> now"), (6, rows[10][1]), (None, None)]
+    assert left == sorted(want, key=str)  # 3 is empty like 2, 4 holds the item
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r.doc_id) for r in out}) == ["1", "2", "5", "6", "None"] and all(r.offset + r.length <= 4096 for r in out)
+
+
+def test_empty_documents(spark, tmp_path):
+    odd(spark, tmp_path, [(1, "x")]).where("false").write.mode("overwrite").parquet(f"{tmp_path}/none.parquet")
+    import shutil
+
+    shutil.rmtree(tmp_path / "documents.parquet")
+    shutil.move(tmp_path / "none.parquet", tmp_path / "documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
