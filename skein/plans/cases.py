@@ -400,6 +400,15 @@ def _(spark, sf):
     return graph.connected(c.join(other, "c_nationkey").select(F.col("c_custkey").alias("src"), "dst"))
 
 
+@registry.query("u5_overlaps", "SELECT CAST((c_custkey // 3) % 7 AS VARCHAR) AS hash, count(DISTINCT c_custkey // 3) AS n_blocks, CAST(5 AS BIGINT) AS line_count FROM customer GROUP BY 1")
+def _(spark, sf):
+    """Three blocks a file, each over the one before: one of them stays."""
+    c, k = read(spark, sf, "customer"), F.floor(F.col("c_custkey") / 3)
+    start = F.col("c_custkey") % 3 * 2
+    b = c.select((k % 7).cast("string").alias("hash"), k.cast("string").alias("file_path"), start.cast("int").alias("start_line"), (start + 4).cast("int").alias("end_line"), F.col("c_name").alias("name"))
+    return findings.duplicates(b).select("hash", "n_blocks", "line_count")
+
+
 # sources
 @registry.query("s4_s9_parse_cache", "SELECT CAST(c_custkey AS VARCHAR) AS file_path FROM customer WHERE c_custkey % 3 = 0")
 def _(spark, sf):

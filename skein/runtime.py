@@ -48,13 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[DataFrame] = []
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back."""
+    """Cut lineage: write df as Parquet to the shared folder (a folder of the application's own) and read it back."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._skein_path = at
+    _made.append(out)
     return out
 
 
@@ -65,6 +69,22 @@ def drop_table(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(at)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _made[:] = [t for t in _made if t._skein_path != at]
+
+
+def settled(make, name: str = "t") -> DataFrame:
+    """table(make(), name), and all tables that were written on the way are deleted: the result stands by itself."""
+    before = {t._skein_path for t in _made}
+    out = table(make(), name)
+    for t in [t for t in _made if t._skein_path not in before and t is not out]:
+        drop_table(t)
+    return out
+
+
+def clear_tables() -> None:
+    """Delete every table of this process that is still there; results that read them are void then."""
+    for t in list(_made):
+        drop_table(t)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
