@@ -3,7 +3,8 @@
 1. toxicity: documents that the induced lexicon rejects go. It is fitted on labelled
    documents of the stage's own input.
 2. near_dedup: of each group of documents linked by close SimHash fingerprints, the one with
-   the smallest doc_id stays (of rows that repeat it, one). Rows with null doc_id stay.
+   the smallest doc_id stays (of its texts one, of equal rows one). Texts that share an id
+   but no likeness are judged apart. Rows with null doc_id stay.
 3. decontaminate: documents that hold a benchmark item go.
 4. pii: personal data are replaced by the names of their kinds; n_chars follows.
 5. pack: what is left becomes token sequences of at most 4096, one row per piece.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from skein.llm import decontaminate as bench
 from skein.llm import packing, pii, simhash, toxicity
 from skein.llm.labelled import crc_mod
-from skein.runtime import read
+from skein.runtime import drop_table, read, settled
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -47,10 +48,9 @@ ORACLE_SQL = None  # no stage but the last could be said in SQL; tests/llm/test_
 
 
 def run(spark, sf_dir):
-    """The stages, one after the other, on documents."""
-    from skein.runtime import table
-
+    """The stages, one after the other, on documents. What a stage wrote on the way goes with it; of the stages' results only the last stays, as what is returned reads it."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop_table(before)  # a stage's table; documents themselves are none
     return STAGES[-1][1](spark, docs, sf_dir)
