@@ -27,8 +27,8 @@ def brute(rows):
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        out.append((rows[i][0], f"{fp[i]:016x}", len(link[i]), min(rows[j][0] for j in seen)))
-    return sorted(out)
+        out.append((rows[i][0], f"{fp[i]:016x}", len(link[i]), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)))
+    return sorted(out, key=str)
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -45,9 +45,10 @@ def test_near_duplicates_equal_brute_force(spark):
     texts += texts[-3:]
     rows = [(i, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*rows, rows[0]]], "doc_id long, text string, fp int, root string")
-    got = sorted(tuple(r) for r in near_duplicates(df).collect())
-    assert got == brute([*rows, rows[0]])
+    null = [(None, rows[2][1]), (None, "nothing like it anywhere at all here")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*rows, rows[0], *null]], "doc_id long, text string, fp int, root string")
+    got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    assert got == brute([*rows, rows[0], *null])
     assert max(g[2] for g in got) > 1
 
 
@@ -76,6 +77,42 @@ def test_components(spark):
 
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_near, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert sorted(((r.doc_id, r.n_near, r.component_id) for r in near_duplicates(df).collect()), key=str) == [(1, 2, 1), (2, 2, 1), (None, 2, 1)]
     assert near_duplicates(df.where(F.lit(False))).count() == 0
     assert fingerprint(b"") == 0
+
+
+def test_hot_blocks_are_dealt_out(spark):
+    rng = random.Random(3)
+    low = list({rng.getrandbits(12) for _ in range(150)})  # they share every block but the last
+    df = spark.createDataFrame([(f,) for f in low], "fp long")
+    want = sorted((a, b) for a in low for b in low if a < b and (a ^ b).bit_count() <= 4)
+    for block in (7, 10**6):
+        assert sorted((r.a, r.b) for r in near_pairs(df, len(low), block=block).collect()) == want
+
+
+def test_keep_one_decides_by_text(spark, monkeypatch):
+    from skein.llm import simhash
+
+    a, b = "one two three four five six", "quite another text that has nothing of it"
+    rows = [(1, a, "x"), (2, a, "p"), (2, b, "q"), (3, b, "r"), (4, a.upper(), "s"), (5, "x y z w v", "t"), (5, "x y z w v", "u"), (None, a, "v"), (6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th string").repartition(3)
+    for sent in (100, 0):
+        monkeypatch.setattr(simhash, "SENT", sent)
+        got = simhash.keep_one(df)
+        assert got.columns == df.columns
+        out = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        assert out == sorted([(1, a), (2, b), (5, "x y z w v"), (6, None), (None, a)], key=str)
+        assert simhash.keep_one(df.where("false")).count() == 0
+    names = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "_th")
+    assert {r.doc_id for r in simhash.keep_one(names).collect()} == {"1", "2", "5", "6", None}
+
+
+def test_long_text_in_pieces(monkeypatch):
+    from skein.llm import simhash, text
+
+    t = " ".join(str(k * k % 97) for k in range(5000)).encode()
+    want = brute_fp(t.decode())
+    for size in (7, 100, 1 << 20):
+        monkeypatch.setattr(simhash, "parts", lambda x, size=size: text.parts(x, size))
+        assert simhash.fingerprint(t) == want
