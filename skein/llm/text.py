@@ -6,6 +6,7 @@ bytes gives the same words as working on characters.
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -186,7 +187,7 @@ _stage = [None]
 
 
 def forget() -> None:
-    """Drop what kept() holds if this worker now runs another stage."""
+    """Drop what kept() holds, and give freed memory back, if this worker now runs another stage."""
     from pyspark import TaskContext
 
     now = TaskContext.get()
@@ -194,6 +195,15 @@ def forget() -> None:
     if now != _stage[0]:
         _kept.clear()
         _stage[0] = now
+        trim()
+
+
+def trim() -> None:
+    """Return free heap pages to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def kept(key, build):
@@ -224,3 +234,5 @@ def batches(it, text: str, limit: int = 2 << 20):
         for lo, hi in slices(off, limit):
             o = off[lo : hi + 1]
             yield b.slice(lo, hi - lo), buf[o[0] : o[-1]], o - o[0]
+    b = buf = off = o = None
+    trim()  # a worker that waits for its next task holds no more than it needs
