@@ -15,8 +15,8 @@ nothing is left to open. A query starts from its own node.
 
 The index holds every row; tests/llm/test_op7.py measures recall against brute force.
 
-Defined results: rows whose id or vector is null, or whose vector is zero, of another length
-than most, or holds null or non-finite components take no part; rows that repeat an id count
+Defined results: rows whose id or vector is null, or whose vector is zero or holds null or
+non-finite components take no part; vectors meet those of their own length only; rows that repeat an id count
 once (the least vector in array order); ties go to the smaller id; with fewer candidates than
 k all are returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from skein.runtime import drop_table, read, ready, table
 
-K, ROUNDS, BUCKET, TABLES, EF, STEP, MOST = 20, 4, 128, 2, 400, 96, 40
+K, ROUNDS, BUCKET, TABLES, EF, STEP = 20, 4, 128, 2, 400, 96
 
 
 def _matrix(col: pa.Array, kind=np.float64) -> np.ndarray:
@@ -46,15 +46,19 @@ def _codes(col: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.float32).reshape(len(col), -1)
 
 
-def nodes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """id, vec (array<double>) of the rows that take part, and the vectors' length."""
+def nodes(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id, vec (array<double>) of the rows that take part."""
     v = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<double>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(finite & F.exists("vec", lambda x: x != 0))
-    most = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if most is None:
-        return v, 0
-    return v.where(F.size("vec") == most.n).groupBy("id").agg(F.min("vec").alias("vec")), most.n
+    return v.where(finite & F.exists("vec", lambda x: x != 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: no square overflows or vanishes, no bit is lost."""
+    if not len(v):
+        return v
+    _, e = np.frexp(np.abs(v).max(1))
+    return np.ldexp(v, -e[:, None])
 
 
 def coded(reps: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def coded(reps: DataFrame) -> DataFrame:
     def run(it):
         for b in it:
             v = _matrix(b.column(1))
-            u = v / np.maximum(np.abs(v).max(1), 1e-300)[:, None] if len(v) else v
+            u = _scaled(v)
             u = u / np.linalg.norm(u, axis=1)[:, None] if len(v) else u
             raw = u.astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), b.column(1)], ["node", "code", "vec"])
@@ -148,8 +152,8 @@ def _top(done: np.ndarray, step: int) -> np.ndarray:
     return np.flatnonzero(done == 0)[:step]
 
 
-def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, ef: int = EF, step: int = STEP, most: int = MOST) -> DataFrame:
-    """q, ids, sims: the ef best nodes found for each query. queries: q (a node), code."""
+def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, ef: int = EF, step: int = STEP) -> DataFrame:
+    """q, ids, sims, scored: the ef best nodes found for each query, and how many were scored. queries: q (a node), code."""
     edges = table(graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     held = "q long, code binary, ids binary, sims binary, done binary, seen binary, open int"
     state = table(queries.select("q", "code", F.array(F.col("q")).alias("x")).mapInArrow(_start, held), "state")
@@ -200,7 +204,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, ef: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(o, pa.binary()) for o in out[:4]), pa.array(out[4], pa.int32())], ["q", "code", "ids", "sims", "done", "seen", "open"])
 
     own = codes.select(F.col("node").alias("v"), F.col("code").alias("b"))
-    for _ in range(most):
+    while True:  # every round opens nodes that were not open, so it ends
         fr = state.where("open > 0").select("q", "ids", "done").mapInArrow(frontier, "q long, u long")
         near = fr.join(edges, "u").groupBy("q").agg(F.collect_set("v").alias("vs"))  # step nodes' links
         pairs = state.select("q", "code", "seen").join(near, "q").mapInArrow(fresh, "q long, v long, a binary")
@@ -211,7 +215,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, *, ef: int =
         if state.where("open > 0").isEmpty():
             break
     drop_table(edges)
-    return state.select("q", "ids", "sims")
+    return state.select("q", "ids", "sims", (F.length("seen") / 8).cast("long").alias("scored"))
 
 
 def _start(it):
@@ -228,10 +232,15 @@ def _start(it):
 def nearest(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = K, rounds: int = ROUNDS, ef: int = EF, step: int = STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest others found for each row that is_query (a condition on `id`) admits."""
     spark = ready(df.sparkSession)
-    rows, size = nodes(df, id_col, vec_col)
-    if not size:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = table(rows, "rows")
+    rows, out = table(nodes(df, id_col, vec_col), "rows"), None
+    for r in rows.select(F.size("vec").alias("n")).distinct().orderBy("n").collect():  # vectors' lengths
+        got = _nearest(rows.where(F.size("vec") == r.n), r.n, is_query, k, degree, rounds, ef, step)
+        out = got if out is None else out.union(got)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest(rows: DataFrame, size: int, is_query: Column, k: int, degree: int, rounds: int, ef: int, step: int) -> DataFrame:
+    """nearest() among vectors of one length. rows: id, vec."""
     # one node for equal vectors; of its members the k + 1 smallest ids can be asked for
     rep = table(rows.groupBy("vec").agg(F.min("id").alias("node")), "reps")
     codes = table(coded(rep), "codes")
@@ -255,7 +264,7 @@ def nearest(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_i
 
     def exact(it):
         for b in it:
-            x, y = _matrix(b.column(2)), _matrix(b.column(3))
+            x, y = _scaled(_matrix(b.column(2))), _scaled(_matrix(b.column(3)))
             s = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["q", "node", "score"])
 

@@ -62,3 +62,19 @@ def test_recall_in_a_hot_group_of_near_copies(spark):
     for r in nearest(df, (F.col("id") % 20 == 0) & (F.col("id") < 600)).collect():
         mine.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(mine[q] & {i for i, _ in x}) for q, x in want.items()) >= 0.95 * 5 * len(want)
+
+
+def test_extreme_components_and_other_lengths(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 6))
+    rows = [(i, (x * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1.0)).tolist()) for i, x in enumerate(v)]
+    other = [(100 + i, rng.normal(size=3).tolist()) for i in range(8)]
+    df = spark.createDataFrame(rows + other, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("id") % 20 == 0).collect()
+    want = brute(range(40), v, [0, 20], 5) | brute([r[0] for r in other], [r[1] for r in other], [100], 5)
+    mine = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        mine.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(mine) == set(want)
+    for q, x in want.items():
+        assert [i for i, _ in mine[q]] == [i for i, _ in x] and np.allclose([s for _, s in mine[q]], [s for _, s in x], rtol=1e-12)
