@@ -187,7 +187,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], *, id_col: str = "doc_i
 
     def run(it):
         p = kept(("languages", key), lambda: Parser(samples))
-        for b, buf, off in batches(it, "text", 4 << 20):
+        for b, buf, off in batches(it, "text", 2 << 20):
             lang, score = p.predict(buf, off)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

@@ -224,7 +224,7 @@ def parts(text: bytes, size: int = 1 << 20):
         a = e
 
 
-def batches(it, text: str, limit: int = 2 << 20):
+def batches(it, text: str, limit: int = 1 << 20):
     """(record batch, buf, off) of bounded pieces of each incoming Arrow batch; a longer row is a piece of its own."""
     forget()
     for b in it:

@@ -31,7 +31,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, words: int = 150_000, pieces: int = 150_000):
+    def __init__(self, path: str, words: int = 250_000, pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
