@@ -19,7 +19,7 @@ def ready(spark: SparkSession) -> SparkSession:
     batches of whole texts are kept at BATCH bytes where the session has Spark's default, and
     workers' allocators give freed memory back: several operators may run in one worker.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("64MB", "67108864b", str(64 << 20)):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", "67108864b", str(64 << 20)):  # no default given here: it would hide Spark's
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
     env.setdefault("MALLOC_ARENA_MAX", "1")
