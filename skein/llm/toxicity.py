@@ -4,14 +4,14 @@
    gives document counts of words and of word beginnings (4, 5 and 6 bytes, so that other
    endings of a known stem count too). Toxic seeds are all those bound to label 1 more strongly
    than chance explains among as many tries; as many others, about as frequent, are plain seeds.
-2. Graph: its words are the seeds and all words of the corpus that the labels say nothing about
-   (those of fewer than LEAST sampled texts; the others have been weighed and can't be induced).
+2. Graph: its words are all words of the corpus, those that the labels have weighed among them.
    One pass over all documents counts in how many each of them stands at all, and with each
    seed in one stretch of STRETCH words. Pairs of at least LEAST documents are edges, weighted
    by positive pointwise mutual information. Words and edges stay a distributed table.
 3. Walks with restart from either kind of seeds, a Spark join a step; a word's polarity is the
-   logarithm of the ratio of both visiting rates. Seeds are weighed by it, and other words
-   enter the lexicon if the walks prefer them, and if they stand with toxic seeds in half of their documents or more, in LEAST
+   logarithm of the ratio of both visiting rates. Seeds are weighed by it, and words that the
+   labels say nothing about (in fewer than LEAST sampled texts) enter the lexicon if the walks prefer
+   them, and if they stand with toxic seeds in half of their documents or more, in LEAST
    different stretches (so that copies do not vouch), and beyond chance.
 4. A document's score: logistic regression on its polarity mass, fitted on the sample.
 
@@ -148,10 +148,15 @@ def _merged(parts: list) -> np.ndarray:
     return out
 
 
-def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray | None = None) -> DataFrame:
-    """h, s, x, n over all documents, for words h that are seeds or not among the known ones (sorted): documents in which word h stands in one stretch with seed s, and what the constants above name."""
+def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray | None = None, weighed: np.ndarray | None = None) -> DataFrame:
+    """h, s, x, n over all documents: documents in which word h stands in one stretch with seed s, and what the constants above name.
+
+    known (sorted): words that are left out. weighed (sorted): words that are counted, but can't be induced, so nobody asks for their stretches.
+    """
     ready(docs.sparkSession)
-    known = np.zeros(0, np.uint64) if known is None else known
+    none = np.zeros(0, np.uint64)
+    known, weighed = none if known is None else known, none if weighed is None else weighed
+    among = lambda u, x: x[np.minimum(np.searchsorted(x, u), len(x) - 1)] == u if len(x) else np.zeros(len(u), bool)
 
     def piece(vocab, buf, off):
         w = Words(buf, off, ALNUM)
@@ -162,9 +167,7 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
             return out
         t, row = terms(w), w.row()
         u, inv = np.unique(t[0], return_inverse=True)
-        wanted = np.ones(len(u), bool)
-        if len(known):
-            wanted = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] != u
+        wanted, asked = ~among(u, known), ~among(u, weighed)
         U = len(u)
         new = wanted[inv]
         df = np.bincount(np.unique(row[new] * U + inv[new]) % U, minlength=U)
@@ -195,6 +198,7 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
         n = np.bincount(key, minlength=U)
         out.append(put(u[n > 0], TOXIC_DF, n[n > 0]))
         # different stretches, by their words
+        bad &= asked[inv[word]]
         key = np.unique(lo[bad])
         end = np.minimum(key + STRETCH, (w.first + w.n)[row[key]])
         sums = np.array([np.bitwise_xor.reduce(mix(t[0][a:e] + np.arange(e - a, dtype=np.uint64))) for a, e in zip(key.tolist(), end.tolist())], np.uint64)
@@ -209,10 +213,10 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
             new = piece(vocab, buf, off)
             held += new
             size += sum(x.shape[1] for x in new)
-            if size > 1 << 18:
+            if size > 1 << 19:
                 held = [_merged(held)]
                 size = held[0].shape[1]
-                if size > 1 << 17:
+                if size > 1 << 18:
                     for k in range(0, size, 1 << 16):
                         yield batch(held[0][:, k : k + (1 << 16)])
                     held, size = [], 0
@@ -283,8 +287,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE, s
     if not len(toxic):
         return Lexicon(prior=prior)
     hashes = np.concatenate([toxic, plain])
-    known = labelled.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64)  # terms of LEAST texts of the sample
-    counted = table(counts(docs, hashes, len(toxic), np.setdiff1d(known, hashes)), "counts")
+    weighed = np.unique(labelled.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64))  # terms of LEAST texts of the sample
+    counted = table(counts(docs, hashes, len(toxic), weighed=weighed), "counts")
     edges = graph(counted, hashes)
     a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
     a[: len(toxic)], b[len(toxic) :] = np.sqrt(strength), 1.0

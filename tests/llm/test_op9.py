@@ -1,12 +1,15 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skein.llm import toxicity
 from skein.llm.text import ALNUM, Words, buffers, hash_words
-from skein.llm.toxicity import CONTEXT, DF, ROWS, SEED_DF, STRETCH, TOXIC_DF, counts, document_terms, fit_toxicity, graph, keep_clean, op9_toxicity, score_toxicity, terms, walks
+from skein.llm.toxicity import CONTEXT, DF, LEAST, ROWS, SEED_DF, STRETCH, TOXIC_DF, counts, document_terms, fit_toxicity, graph, keep_clean, op9_toxicity, score_toxicity, terms, walks
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,6 +112,45 @@ def test_edges_weigh_pairs_above_chance(spark):
     assert set(zip(e.u, e.v)) == set(zip(e.v, e.u))
 
 
+def holds_every_pair(monkeypatch, docs, fit):
+    """The graph that fit() makes of docs, against brute force."""
+    real, held = toxicity.graph, {}
+
+    def spy(counted, hashes):
+        e = real(counted, hashes)
+        held.update(seeds=hashes.view(np.int64).tolist(), edges={(r.u, r.v) for r in e.collect()})
+        return e
+
+    monkeypatch.setattr(toxicity, "graph", spy)
+    fit()
+    seeds, of = set(held["seeds"]), {}
+    texts = [r.text.split() for r in docs.collect()]
+    for x in {x for w in texts for x in w}:
+        of[x] = [int(v.view(np.int64)[0]) for v in terms(Words(*buffers(pa.array([x])), ALNUM))]
+    n, df, seed_df = Counter(), Counter(), Counter()
+    for w in texts:
+        df.update({of[x][0] for x in w})
+        seed_df.update({t for x in w for t in of[x]} & seeds)
+        stretches = [w[k : k + STRETCH] for k in range(0, len(w), STRETCH)]
+        n.update({(of[x][0], t) for own in stretches for i, x in enumerate(own) for j, y in enumerate(own) if i != j for t in of[y] if t in seeds})
+    pairs = {(h, s) for (h, s), k in n.items() if k >= LEAST and h != s and math.log(k * len(texts) / (df[h] * seed_df[s])) > 0}
+    weighed = {of[f"w{i}x"][0] for i in range(80)} - seeds  # in the labelled texts, but no seeds
+    assert weighed and any(h in weighed for h, _ in pairs)
+    assert held["edges"] == pairs | {(s, h) for h, s in pairs}
+
+
+def test_graph_holds_every_pair_of_the_corpus(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    holds_every_pair(monkeypatch, docs, lambda: fit_toxicity(docs, labels, F.lit(True)))
+
+
+def test_weighed_words_are_counted_without_their_stretches(spark):
+    docs, _ = corpus(spark)
+    hashes, weighed = hash_words(["vile", "scum", "w1x"], ALNUM), np.sort(hash_words(["scum", "w1x", "w2x"], ALNUM))
+    full, less = ({(r.h, r.s, r.x): r.n for r in counts(docs, hashes, 2, weighed=x).collect()} for x in (None, weighed))
+    assert less == {k: n for k, n in full.items() if k[1] != CONTEXT or np.uint64(k[0] % (1 << 64)) not in weighed} != full
+
+
 def test_brute_force_score_and_ties(spark):
     docs, labels = corpus(spark)
     lex = fit_toxicity(docs, labels, F.lit(True))
