@@ -109,3 +109,11 @@ def test_empty_documents(spark, tmp_path):
     shutil.rmtree(tmp_path / "documents.parquet")
     shutil.move(tmp_path / "none.parquet", tmp_path / "documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_stage_holds_every_pair(spark, tmp_path, monkeypatch):
+    from tests.llm.test_op9 import corpus, holds_every_pair
+
+    docs, labels = corpus(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    holds_every_pair(monkeypatch, docs, lambda: corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)))
