@@ -9,6 +9,8 @@ words of any other make go to the tokenizer as they are. Tests hold both ways ag
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -30,54 +32,53 @@ def _byte_chars() -> dict[int, str]:
     return out
 
 
+class Bounded(dict):
+    """key -> make(key), of at most `most` keys (then it starts anew); keys over 64 long are not kept."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        v = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = v
+        return v
+
+
 class WordTokenizer:
     def __init__(self, path: str, words: int = 250_000, pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.max_words, self.max_pieces = words, pieces
+        self.words, self.pieces = Bounded(self.word, words), Bounded(self.piece, pieces)
         self.chars = {ord(bytes([b]).decode("latin-1")): c for b, c in _byte_chars().items()}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
-        v = self.pieces.get(p)
-        if v is None:
-            s = p if p.isascii() else p.encode().decode("latin-1").translate(self.chars)
-            v = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
-            if len(self.pieces) >= self.max_pieces:
-                self.pieces.clear()
-            self.pieces[p] = v
-        return v
+        s = p if p.isascii() else p.encode().decode("latin-1").translate(self.chars)
+        ids = [t.id for t in self.model.tokenize(s)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, w: bytes) -> bytes:
+        if w.isalpha():  # plain letters only
+            return self.pieces[w.lower().decode()]
         t = w.decode()
-        if _OK.fullmatch(t) and not _APOS.search(t) and "<|" not in t:
-            v = b"".join(map(self.piece, _PLAIN.findall(t.lower())))
-        else:
-            v = self.whole(t)
-        if len(w) <= 64:
-            if len(self.words) >= self.max_words:
-                self.words.clear()
-            self.words[w] = v
-        return v
+        if _OK.fullmatch(t) and not ("'" in t and _APOS.search(t)) and "<|" not in t:
+            t = t.lower()
+            return self.pieces[t] if t.isalpha() else b"".join(map(self.pieces.__getitem__, _PLAIN.findall(t)))
+        return self.whole(t)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         return b"".join(map(self._part, parts(text)))
 
     def _part(self, text: bytes) -> bytes:
-        words, get = text.split(), self.words.get
-        out = list(map(get, words))
-        if None in out:
-            for i, v in enumerate(out):
-                if v is None:
-                    out[i] = get(words[i]) or self.word(words[i])
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -30,6 +30,16 @@ def test_ids_on_words():
         assert w.ids(t.encode()) == real(t)
 
 
+def test_caches_are_bounded_and_change_nothing():
+    w = WordTokenizer(PATH, words=5, pieces=4)
+    rng = random.Random(5)
+    for _ in range(500):
+        t = "".join(rng.choice("abÉßÿªµº×'sTd \n.,1<|>İſK中") for _ in range(rng.randrange(24)))
+        assert w.ids(t.encode()) == real(t)
+        assert len(w.words) <= 5 and len(w.pieces) <= 4
+    assert w.ids(b"x" * 65) == real("x" * 65) and not any(len(k) > 64 for c in (w.words, w.pieces) for k in c)
+
+
 def brute(lengths, cap):
     """Best-fit decreasing, one piece at a time: number of sequences."""
     gaps = []
