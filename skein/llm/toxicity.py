@@ -7,8 +7,9 @@
 2. Graph: its words are all words of the corpus, those that the labels have weighed among them.
    One pass over all documents counts in how many each of them stands at all, and with each
    seed in one stretch of STRETCH words. Pairs of at least LEAST documents are edges, weighted
-   by positive pointwise mutual information. Words and edges stay a distributed table.
-3. Walks with restart from either kind of seeds, a Spark join a step; a word's polarity is the
+   by positive pointwise mutual information. Pairs of words that are both no seeds are edges by
+   the same rule (company.py). Edges stay distributed tables.
+3. Walks with restart from either kind of seeds, a Spark job a step; a word's polarity is the
    logarithm of the ratio of both visiting rates. Seeds are weighed by it, and words that the
    labels say nothing about (in fewer than LEAST sampled texts) enter the lexicon if the walks prefer
    them, and if they stand with toxic seeds in half of their documents or more, in LEAST
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.company import MANY, visited
 from skein.llm.labelled import SAMPLE, crc_mod, sample, sampled_documents
 from skein.llm.text import _P, ALNUM, Vocabulary, Words, batches, mix
 from skein.runtime import drop_table, read, ready, table
@@ -228,7 +230,7 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
 
 
 def graph(counted: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """u, v, p: edges of the word graph in both directions, and the chance to take each from u."""
+    """u, v, p, w: edges between words and seeds in both directions, the chance to take each of them from u, and their weight."""
     spark = counted.sparkSession
     rows = counted.where(F.col("s") == ROWS).first().n
     seed = spark.createDataFrame([(k, int(h)) for k, h in enumerate(hashes.view(np.int64).tolist())], "s long, seed long")
@@ -239,7 +241,7 @@ def graph(counted: DataFrame, hashes: np.ndarray) -> DataFrame:
     e = pair.join(word, "h").where(F.col("h") != F.col("seed")).withColumn("w", w).where("w > 0")
     both = e.select(F.col("h").alias("u"), F.col("seed").alias("v"), "w").union(e.select(F.col("seed").alias("u"), F.col("h").alias("v"), "w")).groupBy("u", "v").agg(F.max("w").alias("w"))
     both = table(both, "edges")
-    out = table(both.join(both.groupBy("u").agg(F.sum("w").alias("out")), "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")), "steps")
+    out = table(both.join(both.groupBy("u").agg(F.sum("w").alias("out")), "u").select("u", "v", (F.col("w") / F.col("out")).alias("p"), "w"), "steps")
     drop_table(both)
     return out
 
@@ -272,7 +274,7 @@ def induced(counted: DataFrame, rates: DataFrame, labelled: DataFrame, eps: floa
     return w.join(places, "h").join(walked, "h").where("polarity > 0").select("h", "polarity")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE, send: int = SEND) -> Lexicon:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE, send: int = SEND, many: int = MANY) -> Lexicon:
     spark = ready(docs.sparkSession)
     chosen = sampled_documents(docs, sample(labels, "toxic", keep, rows))
 
@@ -292,10 +294,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE, s
     edges = graph(counted, hashes)
     a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
     a[: len(toxic)], b[len(toxic) :] = np.sqrt(strength), 1.0
-    start = spark.createDataFrame([(h, x, y) for h, x, y in zip(hashes.view(np.int64).tolist(), (a / max(a.sum(), 1e-12)).tolist(), (b / max(b.sum(), 1e-12)).tolist())], "node long, a double, b double")
-    rates = walks(edges, start)
+    start = np.column_stack([a / max(a.sum(), 1e-12), b / max(b.sum(), 1e-12)])
+    own = spark.createDataFrame([(h,) for h in hashes.view(np.int64).tolist()], "node long")
+    found = counted.where((F.col("s") == DF) & (F.col("n") >= LEAST)).join(F.broadcast(own), F.col("h") == F.col("node"), "left_anti").select("h", "n")
+    total = counted.where(F.col("s") == ROWS).first().n
+    rates = visited(docs, found, edges, total, hashes, start, walks, least=LEAST, stretch=STRETCH, steps=STEPS, restart=RESTART, many=many)
     eps = 0.1 / len(hashes)
-    got = {r.node: (r.a, r.b) for r in rates.join(F.broadcast(start.select("node")), "node").collect()}  # the seeds
+    got = {r.node: (r.a, r.b) for r in rates.join(F.broadcast(own), "node").collect()}  # the seeds
     polarity = np.array([np.log((got.get(h, (0, 0))[0] + eps) / (got.get(h, (0, 0))[1] + eps)) for h in hashes.view(np.int64).tolist()])
     new = table(induced(counted, rates, labelled, eps), "induced")
     for t in (counted, edges, rates, labelled):

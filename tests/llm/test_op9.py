@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import toxicity
+from skein.llm import company, toxicity
 from skein.llm.text import ALNUM, Words, buffers, hash_words
 from skein.llm.toxicity import CONTEXT, DF, LEAST, ROWS, SEED_DF, STRETCH, TOXIC_DF, counts, document_terms, fit_toxicity, graph, keep_clean, op9_toxicity, score_toxicity, terms, walks
 
@@ -183,3 +183,84 @@ def test_edges(spark):
     assert [r.score for r in score_toxicity(docs, none).collect()] == [0.0] * 4
     assert score_toxicity(docs.where("false"), none).count() == 0
     assert keep_clean(docs, none).columns == docs.columns and keep_clean(docs, none).count() == 4
+
+
+def brute_links(texts, left_out):
+    """Pairs of words, both not left_out, that share a stretch in LEAST texts or more and more often than chance has it: {(x, y): weight}."""
+    n, df = Counter(), Counter()
+    for w in texts:
+        df.update(set(w))
+        n.update({(x, y) for k in range(0, len(w), STRETCH) for x in w[k : k + STRETCH] for y in w[k : k + STRETCH] if x < y})
+    pairs = {p: math.log(k * len(texts) / (df[p[0]] * df[p[1]])) for p, k in n.items() if k >= LEAST and not {*p} & left_out}
+    return {p: w for p, w in pairs.items() if w > 0}
+
+
+def walked_by_fit(monkeypatch, docs, fit):
+    """Rates of the walks that fit() makes over docs, and the same by dense algebra over the whole graph."""
+    real, graphs, held = toxicity.visited, [], {}
+    of_seeds = toxicity.graph
+
+    def spy_graph(counted, hashes):
+        e = of_seeds(counted, hashes)
+        graphs.extend((r.u, r.v, r.w) for r in e.collect())
+        return e
+
+    def spy(docs, found, edges, rows, seeds, start, walks, **how):
+        rates = real(docs, found, edges, rows, seeds, start, walks, **how)
+        held.update(seeds=seeds.view(np.int64).tolist(), start=start, rates={r.node: (r.a, r.b) for r in rates.collect()})
+        return rates
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "graph", spy_graph)
+        m.setattr(toxicity, "visited", spy)
+        fit()
+    texts = [r.text.split() for r in docs.collect()]
+    h = {x: int(hash_words([x], ALNUM).view(np.int64)[0]) for x in {x for w in texts for x in w}}
+    more = brute_links(texts, {x for x in h if h[x] in set(held["seeds"])})
+    assert more
+    nodes = sorted({u for u, _, _ in graphs} | set(held["seeds"]) | {h[x] for p in more for x in p})
+    at = {x: k for k, x in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    for u, v, w in graphs:
+        m[at[u], at[v]] = w
+    for (x, y), w in more.items():
+        assert m[at[h[x]], at[h[y]]] == 0
+        m[at[h[x]], at[h[y]]] = m[at[h[y]], at[h[x]]] = w
+    p = m / np.where(m.sum(1) > 0, m.sum(1), 1)[:, None]
+    first = np.zeros((len(nodes), 2))
+    first[[at[x] for x in held["seeds"]]] = held["start"]
+    now = first
+    for _ in range(toxicity.STEPS):
+        now = toxicity.RESTART * first + (1 - toxicity.RESTART) * p.T @ now
+    return np.array([held["rates"].get(x, (0, 0)) for x in nodes]), now
+
+
+@pytest.mark.parametrize("many", [1 << 20, 20])
+def test_walks_go_over_pairs_without_a_seed(spark, monkeypatch, many):
+    docs, labels = corpus(spark)
+    got, want = walked_by_fit(monkeypatch, docs, lambda: fit_toxicity(docs, labels, F.lit(True), many=many))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-15)
+
+
+@pytest.mark.parametrize("window", [1 << 22, 500])
+def test_links_equal_brute_force(spark, window):
+    rng = random.Random(4)
+    texts = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(0, 150))] for _ in range(300)] + [[f"v{k}" for k in range(40)]] * 3 + [["one"], [], ["one", "one"]]
+    df = Counter(x for w in texts for x in set(w))
+    words = sorted((x for x in df if df[x] >= LEAST), key=lambda x: -df[x])
+    docs = spark.createDataFrame([(" ".join(w) or None,) for w in texts], "text string").repartition(4)
+    h, n = hash_words(words, ALNUM), np.array([df[x] for x in words])
+    made = company.links(docs, h, n, len(texts), LEAST, STRETCH, window=window)
+    name = dict(zip(h.view(np.int64).tolist(), words))
+    got = {(name[r.u], name[r.v]): r.w for r in company.as_rows(made, h, n, len(texts)).collect()}
+    want = brute_links(texts, set())
+    assert len(want) > 500 and set(got) == set(want) | {(y, x) for x, y in want}
+    assert all(np.isclose(got[p], w) and np.isclose(got[p[::-1]], w) for p, w in want.items())
+
+
+def test_pairs_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 1000):
+        k, n = np.unique(rng.integers(0, 1 << 44, size).astype(np.uint64)), rng.integers(1, 1 << 31, size)
+        got = company.unpacked(company.packed(k, n[: len(k)]))
+        assert np.array_equal(got[0], k) and np.array_equal(got[1], n[: len(k)])
