@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import ALNUM, Vocabulary, Words, batches
+from skein.llm.text import ALNUM, Words, batches, trim
 from skein.runtime import drop_table, ready, table
 
-MANY, WINDOW, ROUNDS, TURNS, SPREAD = 1 << 21, 1 << 21, 4, 4, 64
+MANY, WINDOW, ROUNDS, TURNS, SPREAD = 1 << 21, 1 << 20, 4, 4, 64
 BITS = np.uint64(22)  # of a word's number, two groups together
 LOW = np.uint64((1 << 22) - 1)
 ROW = np.uint64(20)  # bits of a row's number in a window, and of a count there
@@ -45,7 +45,27 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(d, dtype=np.uint64), np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
 
 
-def numbered(vocab: Vocabulary, buf, off, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Numbers:
+    """hash -> number (0..), -1 for others; a start by the first bits, then a step or some in order."""
+
+    def __init__(self, hashes: np.ndarray):
+        order = np.argsort(hashes)
+        self.sorted = np.append(hashes[order], np.uint64((1 << 64) - 1))
+        self.number = np.append(order, -1).astype(np.int32)
+        self.start = np.searchsorted(self.sorted[:-1], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        at = self.start[(h >> np.uint64(44)).astype(np.int64)]
+        left = np.flatnonzero(self.sorted[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[self.sorted[at[left]] < h[left]]
+        i = self.number[at]
+        i[self.sorted[at] != h] = -1
+        return i
+
+
+def numbered(vocab: Numbers, buf, off, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretch, word) pairs in order, each once: number of the stretch, number of the word; and each stretch's row, of the rows that have pairs."""
     w = Words(buf, off, ALNUM)
     if not len(w.start):
@@ -151,15 +171,16 @@ def _links(docs: DataFrame, to, total_df: int, rows: int, least: int, stretch: i
 
     def counted(k):
         def run(it):
-            vocab, held, size, n = Vocabulary(to.value[0]), [], 0, 0
-            for _, buf, off in batches(it, "text"):
+            vocab, held, size, n = Numbers(to.value[0]), [], 0, 0
+            for _, buf, off in batches(it, "text", 1 << 18):
                 s, word, row = numbered(vocab, buf, off, stretch)
                 if len(word):
                     held.append((s, word, row + np.int32(n)))
                     size, n = size + len(word), n + int(row.max()) + 1
-                if size >= window or n >= 1 << 19:  # a row's number has ROW bits; a piece has fewer than 1 << 19 such rows
+                if size >= window or n >= 1 << 19:  # a row's number has ROW bits; a piece has fewer than 1 << 17 such rows
                     yield from emitted(held, k)
                     size = n = 0
+                    trim()
             if held:
                 yield from emitted(held, k)
 
@@ -244,7 +265,7 @@ def walked(company: DataFrame, edges: DataFrame, words: np.ndarray, df: np.ndarr
     nodes = np.concatenate([words, seeds])
 
     def known(it):
-        vocab = Vocabulary(to.value[0])
+        vocab = Numbers(to.value[0])
         for b in it:
             i = [pa.array(vocab.ids(b.column(k).to_numpy().view(np.uint64))) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*i, b.column(2)], ["u", "v", "w"])

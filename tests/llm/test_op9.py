@@ -264,3 +264,13 @@ def test_pairs_are_packed_without_loss():
         k, n = np.unique(rng.integers(0, 1 << 44, size).astype(np.uint64)), rng.integers(1, 1 << 31, size)
         got = company.unpacked(company.packed(k, n[: len(k)]))
         assert np.array_equal(got[0], k) and np.array_equal(got[1], n[: len(k)])
+
+
+@pytest.mark.parametrize("size", [0, 1, 5000])
+def test_numbers_of_hashes(size):
+    rng = np.random.default_rng(2)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 64, size, np.uint64), rng.integers(0, 1 << 20, size, np.uint64), np.full(min(size, 1), (1 << 64) - 1, np.uint64)]))
+    rng.shuffle(h)
+    asked = np.concatenate([h, rng.integers(0, 1 << 64, 1000, np.uint64), np.arange(1000, dtype=np.uint64)])
+    want = {int(x): k for k, x in enumerate(h)}
+    assert company.Numbers(h).ids(asked).tolist() == [want.get(int(x), -1) for x in asked]
