@@ -1,11 +1,11 @@
 """Pairs of words that share a stretch, counted by documents, and walks over them.
 
-Words have numbers, the frequent ones first, and a pair is one number. Each task keeps the words of
-WINDOW at a time as numbers and makes their pairs in TURNS, so that a pair leaves a window once,
-with its count. Pairs travel sorted, as compressed differences, under a part of their words; a part
-adds up its pairs, and those of LEAST documents or more that stand together more often than chance
-has them are links. All of it goes in ROUNDS over the documents, each for other words: no more than
-one round's pairs are on disk.
+Words have numbers, the frequent ones first, and a pair is one number. Texts are read once: the
+numbers of WINDOW words at a time are written as a compressed row. From each window pairs are made
+in TURNS, so that a pair leaves a window once, with its count. Pairs travel sorted, as compressed
+differences, under parts that are ranges of pairs (cuts); a part adds up its pairs, and those of
+LEAST documents or more that stand together more often than chance has them are links. All of it
+goes in ROUNDS over the windows, each for other words: no more than one round's pairs are on disk.
 
 Up to MANY words have numbers at once and a walk's rates are arrays that go to all tasks. If there
 are more, words are grouped, each two groups have rounds of their own, and walks go by joins.
@@ -18,31 +18,51 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.text import ALNUM, Words, batches, trim
 from skein.runtime import drop_table, ready, table
 
-MANY, WINDOW, ROUNDS, TURNS, SPREAD = 1 << 21, 1 << 20, 4, 4, 64
+MANY, WINDOW, ROUNDS, TURNS, SPREAD, PART = 1 << 21, 1 << 20, 6, 2, 64, 1 << 20
 BITS = np.uint64(22)  # of a word's number, two groups together
 LOW = np.uint64((1 << 22) - 1)
 ROW = np.uint64(20)  # bits of a row's number in a window, and of a count there
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on; their bytes lie apart by place, as many places as the largest number has."""
+    raw = []
+    for x in arrays:
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        raw += [len(x).to_bytes(8, "little"), bytes([width]), *((x >> x.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(width))]
+    raw = b"".join(raw)
+    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
+
+
+def spread(blob: bytes) -> list[np.ndarray]:
+    """The arrays, as 64-bit numbers."""
+    raw, at, out = np.frombuffer(_zstd.decompress(blob[8:], int.from_bytes(blob[:8], "little")), np.uint8), 0, []
+    while at < len(raw):
+        size, width, at = int.from_bytes(raw[at : at + 8].tobytes(), "little"), int(raw[at + 8]), at + 9
+        x = np.zeros(size, np.uint64)
+        for k in range(width):
+            x |= raw[at : at + size].astype(np.uint64) << np.uint64(8 * k)
+            at += size
+        out.append(x)
+    return out
+
+
 def packed(k: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted pairs and their counts; the bytes of the differences lie apart by place."""
-    d, n = np.diff(k, prepend=np.uint64(0)), n.astype(np.uint32)
-    raw = d.view(np.uint8).reshape(-1, 8).T.tobytes() + n.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(k).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
+    """Sorted pairs and their counts."""
+    return squeezed(np.diff(k, prepend=np.uint64(0)), n)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(_zstd.decompress(blob[8:], 12 * size), np.uint8)
-    d = np.ascontiguousarray(raw[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
-    return np.cumsum(d, dtype=np.uint64), np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
+    d, n = spread(blob)
+    return np.cumsum(d, dtype=np.uint64), n.astype(np.uint32)
 
 
 class Numbers:
@@ -70,29 +90,57 @@ def numbered(vocab: Numbers, buf, off, stretch: int) -> tuple[np.ndarray, np.nda
     w = Words(buf, off, ALNUM)
     if not len(w.start):
         return np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int32)
-    row, i = w.row(), vocab.ids(w.hashes())
-    new = (np.arange(len(i)) - w.first[row]) % stretch == 0
-    s, known = np.cumsum(new) - 1, i >= 0
-    x = np.sort((s[known] << int(BITS)) | i[known])
-    x = x[np.diff(x, prepend=-1) != 0]
-    s, word, of, used = x >> int(BITS), x & int(LOW), row[new], np.zeros(len(off) - 1, bool)
+    i, has = vocab.ids(w.hashes()), -(-w.n // stretch)  # stretches of a row
+    of = np.repeat(np.arange(len(has)), has)
+    size = np.full(len(of), stretch)
+    some = has > 0
+    size[np.cumsum(has)[some] - 1] = w.n[some] - stretch * (has[some] - 1)
+    x = (np.repeat(np.arange(len(of)) << int(BITS), size) | i)[i >= 0]
+    x.sort()
+    x = x[_new(x)]
+    s, word, used = x >> int(BITS), x & int(LOW), np.zeros(len(off) - 1, bool)
     two = np.bincount(s, minlength=len(of))[s] > 1  # else there is no pair
     s, word = s[two], word[two]
     used[of[s]] = True
     return s.astype(np.int32), word.astype(np.uint32), (np.cumsum(used) - 1)[of].astype(np.int32)
 
 
-def met(s: np.ndarray, word: np.ndarray, row: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def window(held: list) -> bytes:
+    """What numbered() made of some pieces, as one blob; stretches without pairs are left out."""
+    step, size, word, rows = [], [], [], 0
+    for s, w, row in held:
+        first = np.flatnonzero(_new(s))
+        at = row[s[first]]
+        step.append(np.diff(at, prepend=at[:1] - 1 if rows else at[:1]))  # 1 where another row begins
+        size.append(np.diff(np.append(first, len(s))))
+        d = np.diff(w, prepend=w[:1])  # a stretch's words are in order
+        d[first] = w[first]
+        word.append(d)
+        rows += int(at[-1]) + 1
+    return squeezed(*(np.concatenate(x) for x in (step, size, word)))
+
+
+def unwound(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a window: its number (in order within a stretch), where its stretch begins, its row."""
+    step, size, d = spread(blob)
+    size = size.astype(np.int64)
+    first = np.cumsum(size) - size
+    word = np.cumsum(d)
+    word -= np.repeat(word[first] - d[first], size)
+    return word, np.repeat(first, size), np.repeat(np.cumsum(step), size)
+
+
+def met(word: np.ndarray, first: np.ndarray, row: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (the rarer word's number first) and in how many rows they share a stretch; left: where in word the rarer words to look at are."""
-    at, out = left, []
-    here = (word[at].astype(np.uint64) << (BITS + ROW)) | row[s[at]].astype(np.uint64)
-    for d in range(1, len(word)):
-        on = (at >= d) & (s[at - d] == s[at])
-        at, here = at[on], here[on]
-        if not len(at):
-            break
-        x = here | (word[at - d].astype(np.uint64) << ROW)
-        out.append(x if side is None else x[side[word[at]] != side[word[at - d]]])
+    place, out = left - first[left], []
+    order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+    left, size = left[order], np.bincount(place)
+    here, near, apart = (word[left] << (BITS + ROW)) | row[left], word << ROW, None if side is None else side[word.astype(np.int64)]
+    for d in np.flatnonzero(size).tolist():  # words with d others before them in their stretch
+        a, e = int(size[:d].sum()), int(size[: d + 1].sum())
+        if d:
+            x = sliding_window_view(near, d)[left[a:e] - d] | here[a:e, None]
+            out.append(x.ravel() if side is None else x[sliding_window_view(apart, d)[left[a:e] - d] != apart[left[a:e], None]])
     x = np.concatenate(out) if out else np.zeros(0, np.uint64)
     out.clear()
     x.sort()
@@ -101,6 +149,28 @@ def met(s: np.ndarray, word: np.ndarray, row: np.ndarray, left: np.ndarray, side
     return x[first], np.diff(np.append(first, len(x)))
 
 
+def cuts(df: np.ndarray, parts: int, windows: float, near: int) -> np.ndarray:
+    """Where parts 1.. begin, so that about as many pairs are sent to each, if a word meets near others a document, by their frequency, and a pair leaves a window once."""
+    before = np.cumsum(df) - df
+
+    def sent(i, j):  # pairs of word i with words under j
+        return 1 / (1 / np.maximum(near * df[i] * before[j] / before[-1], 1e-9) + 1 / np.maximum(windows * j, 1e-9))
+
+    if len(df) < 3 or parts < 2:
+        return np.zeros(0, np.uint64)
+    i = np.arange(len(df))
+    total = np.cumsum(sent(i, i))
+    want = total[-1] * np.arange(1, parts) / parts
+    i = np.minimum(np.searchsorted(total, want), len(df) - 1)
+    want = want - np.where(i > 0, total[i - 1], 0)
+    lo, hi = np.zeros(len(i), np.int64), i.copy()
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        enough = sent(i, mid) >= want
+        lo, hi = np.where(enough | (lo >= hi), lo, mid + 1), np.where(enough, mid, hi)
+    return (i.astype(np.uint64) << BITS) | lo.astype(np.uint64)
+
+
 def _new(x: np.ndarray) -> np.ndarray:
     """Where a sorted array has another value than before."""
     out = np.ones(len(x), bool)
@@ -117,6 +187,14 @@ def _cut(part: np.ndarray, k: np.ndarray, n: np.ndarray):
         yield int(part[a]), packed(k[a:b], n[a:b])
 
 
+def _ranges(bounds: np.ndarray, k: np.ndarray, n: np.ndarray):
+    """(part, blob) of sorted pairs by the range they fall in."""
+    at = [0, *np.searchsorted(k, bounds).tolist(), len(k)]
+    for part, (a, b) in enumerate(zip(at, at[1:])):
+        if a < b:
+            yield part, packed(k[a:b], n[a:b])
+
+
 def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
@@ -144,45 +222,48 @@ def links(docs: DataFrame, words: np.ndarray, df: np.ndarray, rows: int, least:
     """Tables (part, blob) of the links among words (hashes; df: documents with each); with sides, of those between both sides."""
     spark = ready(docs.sparkSession)
     df = np.asarray(df, float)
-    with _sent(spark, words, df, side) as to:
-        return _links(docs, to, int(df.sum()), rows, least, stretch, window)
+    parts = 1 + 8 * int(df.sum()) // ROUNDS // PART  # so that a part is a million pairs or some
+    with _sent(spark, words, df, side, cuts(df, parts, max(df.sum() / window, 1), 2 * stretch)) as to:
+        return _links(docs, to, rows, least, stretch, window)
 
 
-def _links(docs: DataFrame, to, total_df: int, rows: int, least: int, stretch: int, window: int) -> list[DataFrame]:
+def _links(docs: DataFrame, to, rows: int, least: int, stretch: int, most: int) -> list[DataFrame]:
     spark = docs.sparkSession
-    parts = 1 + 8 * total_df // ROUNDS // (1 << 20)  # so that a part is a million pairs or some
-
-    def emitted(held, k):
-        rows_before = np.cumsum([0, *(len(x[2]) for x in held)])
-        s = np.concatenate([x[0] for x in held])
-        for x, a, e in zip(held, rows_before, np.cumsum([len(x[0]) for x in held])):
-            s[e - len(x[0]) : e] += a
-        word, row = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-        held.clear()
-        turns = TURNS * (1 + len(word) // (2 * window))
-        mine = np.flatnonzero(word % ROUNDS == k)
-        turn = word[mine] // ROUNDS % turns
+
+    def numbers(it):
+        vocab, held, size, n = Numbers(to.value[0]), [], 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([window(held)], pa.binary())], ["blob"])
+        for _, buf, off in batches(it, "text", 1 << 18):
+            s, word, of = numbered(vocab, buf, off, stretch)
+            if len(word):
+                held.append((s, word, of))
+                size, n = size + len(word), n + int(of.max()) + 1
+            if size >= most or n >= 1 << 19:  # a row's number has ROW bits; a piece has fewer than 1 << 17 such rows
+                yield row()
+                held, size, n = [], 0, 0
+                trim()
+        if held:
+            yield row()
+
+    def emitted(blob, k):
+        word, first, row = unwound(blob)
+        turns = TURNS * (1 + len(word) // (2 * most))
+        mine = np.flatnonzero(word % np.uint64(ROUNDS) == np.uint64(k))
+        place = word[mine]
+        ends = np.sort(place)[np.arange(1, turns) * len(place) // turns] if len(place) else place
+        turn = np.searchsorted(ends, place, side="right")
         for t in range(turns):
-            x, n = met(s, word, row, mine[turn == t], to.value[2])
-            if len(x):
-                out = list(_cut(((x >> BITS) // np.uint64(ROUNDS * turns) + (x & LOW) // np.uint64(1 << 14)) % np.uint64(parts), x, n))
-                for a in range(0, len(out), 64):
-                    yield _batch(out[a : a + 64])
+            x, n = met(word, first, row, mine[turn == t], to.value[2])
+            out = list(_ranges(to.value[3], x, n))
+            for a in range(0, len(out), 64):
+                yield _batch(out[a : a + 64])
 
     def counted(k):
         def run(it):
-            vocab, held, size, n = Numbers(to.value[0]), [], 0, 0
-            for _, buf, off in batches(it, "text", 1 << 18):
-                s, word, row = numbered(vocab, buf, off, stretch)
-                if len(word):
-                    held.append((s, word, row + np.int32(n)))
-                    size, n = size + len(word), n + int(row.max()) + 1
-                if size >= window or n >= 1 << 19:  # a row's number has ROW bits; a piece has fewer than 1 << 17 such rows
-                    yield from emitted(held, k)
-                    size = n = 0
+            for b in it:
+                for blob in b.column(0).to_pylist():
+                    yield from emitted(blob, k)
                     trim()
-            if held:
-                yield from emitted(held, k)
 
         return run
 
@@ -208,11 +289,12 @@ def _links(docs: DataFrame, to, total_df: int, rows: int, least: int, stretch: i
         if blobs:
             yield _batch([total(part, blobs)])
 
-    out = []
+    out, windows = [], table(docs.select("text").mapInArrow(numbers, "blob binary"), "windows")
     for k in range(ROUNDS):
         _swept(spark)
-        sent = docs.select("text").mapInArrow(counted(k), "part long, blob binary").repartition("part").sortWithinPartitions("part")
+        sent = windows.mapInArrow(counted(k), "part long, blob binary").repartition("part").sortWithinPartitions("part")
         out.append(table(sent.mapInArrow(added, "part long, blob binary"), "links"))
+    drop_table(windows)
     return out
 
 
@@ -285,14 +367,16 @@ def walked(company: DataFrame, edges: DataFrame, words: np.ndarray, df: np.ndarr
     def _step(shape, now, sent_df):
         def far(it):
             (y,), (df,) = now.value, sent_df.value
-            out = np.zeros(y.shape)
+            out, columns = np.zeros(y.shape), [np.ascontiguousarray(c) for c in y.T]
             for b in it:
                 for x in b.column(1).to_pylist():
                     k, n = unpacked(x)
-                    w, u, v = _weight(k, n, df, rows), (k & LOW).astype(np.int64), (k >> BITS).astype(np.int64)
+                    u, v = (k & LOW).astype(np.int64), k >> BITS
                     first = np.flatnonzero(_new(v))
-                    for c in range(y.shape[1]):
-                        out[v[first], c] += np.add.reduceat(w * y[u, c], first)
+                    v = v[first].astype(np.int64)
+                    w = np.log(n * float(rows) / (df[u] * np.repeat(df[v], np.diff(np.append(first, len(u))))))
+                    for c in range(len(columns)):
+                        out[v, c] += np.add.reduceat(w * columns[c][u], first)
             yield sums(out)
 
         def close(it):

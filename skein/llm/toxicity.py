@@ -43,12 +43,12 @@ DF, SEED_DF, ROWS, TOXIC_DF, CONTEXT = -1, -2, -3, -4, -5  # what a row of count
 
 def terms(w: Words) -> list[np.ndarray]:
     """For each word its own hash and those of its beginnings (0 where the word is no longer than that)."""
-    n, at, h, out = w.end - w.start, w.start, np.zeros(len(w.start), np.uint64), [w.hashes()]
+    n, h, out = w.end - w.start, np.zeros(len(w.start), np.uint64), [w.hashes()]
+    eight = np.ndarray(len(w.low) + 1, "<u8", np.concatenate([w.low, np.zeros(8, np.uint8)]), strides=(1,))[w.start]  # the bytes from a word's first on, in one number
+    eight &= np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)[np.minimum(n, 8)]
     scale = 1
     for k in range(max(HEADS)):
-        byte = w.low[np.minimum(at + k, w.end - 1)].astype(np.uint64)
-        byte[n <= k] = 0
-        h = h + byte * np.uint64(scale)
+        h = h + (eight >> np.uint64(8 * k) & np.uint64(255)) * np.uint64(scale)
         scale = scale * int(_P) & (1 << 64) - 1
         if k + 1 in HEADS:
             out.append(np.where(n > k + 1, mix(h + np.uint64(1001 + k)), np.uint64(0)))
@@ -138,6 +138,14 @@ def seeds(counted: DataFrame, n: int, p: float) -> tuple[np.ndarray, np.ndarray,
     return toxic.h.to_numpy().view(np.uint64), toxic.g.to_numpy(), rest.h.to_numpy(np.int64).view(np.uint64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by a sort; numpy's table of hashes takes many times as long where little repeats."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def _merged(parts: list) -> np.ndarray:
     """Rows (h, s, x, n) with n summed over equal (h, s, x)."""
     x = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
@@ -172,7 +180,7 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
         wanted, asked = ~among(u, known), ~among(u, weighed)
         U = len(u)
         new = wanted[inv]
-        df = np.bincount(np.unique(row[new] * U + inv[new]) % U, minlength=U)
+        df = np.bincount(_distinct(row[new] * U + inv[new]) % U, minlength=U)
         out.append(put(u[df > 0], DF, df[df > 0]))
         at, seed = [], []
         for h in t:
@@ -183,7 +191,7 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
         at, seed = np.concatenate(at), np.concatenate(seed)
         if not len(at):
             return out
-        key = np.unique(row[at] * S + seed) % S
+        key = _distinct(row[at] * S + seed) % S
         n = np.bincount(key, minlength=S)
         out.append(put(hashes[n > 0], SEED_DF, n[n > 0]))
         lo = at - (at - w.first[row[at]]) % STRETCH
@@ -192,19 +200,21 @@ def counts(docs: DataFrame, hashes: np.ndarray, toxic: int, known: np.ndarray |
         seed, r, of = np.repeat(seed, size), row[word], np.repeat(at, size)
         own = (word != of) & new[word]
         word, seed, r, lo = word[own], seed[own], r[own], np.repeat(lo, size)[own]
-        key = np.unique((r * S + seed) * U + inv[word]) % (S * U)
+        key = _distinct((r * S + seed) * U + inv[word]) % (S * U)
         key, n = np.unique(key, return_counts=True)
         out.append(put(u[key % U], key // U, n))
         bad = seed < toxic
-        key = np.unique(r[bad] * U + inv[word[bad]]) % U
+        key = _distinct(r[bad] * U + inv[word[bad]]) % U
         n = np.bincount(key, minlength=U)
         out.append(put(u[n > 0], TOXIC_DF, n[n > 0]))
         # different stretches, by their words
         bad &= asked[inv[word]]
-        key = np.unique(lo[bad])
-        end = np.minimum(key + STRETCH, (w.first + w.n)[row[key]])
-        sums = np.array([np.bitwise_xor.reduce(mix(t[0][a:e] + np.arange(e - a, dtype=np.uint64))) for a, e in zip(key.tolist(), end.tolist())], np.uint64)
-        pair = np.unique(np.searchsorted(key, lo[bad]) * U + inv[word[bad]])
+        key = _distinct(lo[bad])
+        size = np.minimum(key + STRETCH, (w.first + w.n)[row[key]]) - key
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        sums = np.bitwise_xor.reduceat(mix(t[0][np.repeat(key, size) + place] + place.astype(np.uint64)), first) if len(key) else np.zeros(0, np.uint64)
+        pair = _distinct(np.searchsorted(key, lo[bad]) * U + inv[word[bad]])
         out.append(put(u[pair % U], CONTEXT, np.ones(len(pair), np.int64), sums[pair // U].view(np.int64)))
         return out
 

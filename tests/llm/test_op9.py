@@ -274,3 +274,57 @@ def test_numbers_of_hashes(size):
     asked = np.concatenate([h, rng.integers(0, 1 << 64, 1000, np.uint64), np.arange(1000, dtype=np.uint64)])
     want = {int(x): k for k, x in enumerate(h)}
     assert company.Numbers(h).ids(asked).tolist() == [want.get(int(x), -1) for x in asked]
+
+
+def test_links_read_the_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(t):
+        seen.add(1)
+        return t
+
+    docs = spark.createDataFrame([(f"a b c{k % 5} d{k % 7}",) for k in range(60)], "text string").select(F.udf(look, "string")("text").alias("text"))
+    words = ["a", "b", *(f"c{k}" for k in range(5)), *(f"d{k}" for k in range(7))]
+    df = np.array([60, 60, *[12] * 5, *[9] * 4, *[8] * 3])
+    assert len(company.links(docs, hash_words(words, ALNUM), df, 60, LEAST, STRETCH)) == company.ROUNDS > 1
+    assert seen.value == 60
+
+
+def test_windows_are_kept_without_loss():
+    rng = random.Random(5)
+    texts = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(0, 150))] for _ in range(80)] + [["w1"], [], ["w2", "w1", "w2"]]
+    words = sorted({x for w in texts for x in w})
+    vocab, number = company.Numbers(hash_words(words, ALNUM)), {x: k for k, x in enumerate(words)}
+    pieces = [company.numbered(vocab, *buffers(pa.array([" ".join(w) for w in texts[a : a + 30]])), STRETCH) for a in (0, 30, 60)]
+    word, first, row = company.unwound(company.window(pieces))
+    got = {}
+    for w, f, r in zip(word.tolist(), first.tolist(), row.tolist()):
+        got.setdefault((r, f), []).append(w)
+    want, rows = [], 0
+    for w in texts:
+        sets = [x for k in range(0, len(w), STRETCH) if len(x := sorted({number[y] for y in w[k : k + STRETCH]})) > 1]
+        want += [(rows, x) for x in sets]
+        rows += bool(sets)
+    assert [(r, x) for (r, _), x in sorted(got.items(), key=lambda p: p[0][1])] == want
+
+
+@pytest.mark.parametrize("parts", [1, 2, 50])
+def test_cuts_are_in_order_and_share_the_pairs(parts):
+    df = np.maximum(100000 // np.arange(1, 3000), 3).astype(float)
+    at = company.cuts(df, parts, 20, 2 * STRETCH)
+    assert len(at) == parts - 1 and (np.diff(at.astype(np.int64)) >= 0).all()
+    k = np.sort(np.unique((np.repeat(np.arange(3000), 3) << 22 | np.tile([0, 5, 9], 3000)).astype(np.uint64)))
+    n = np.arange(1, len(k) + 1)
+    sent = [(p, *company.unpacked(x)) for p, x in company._ranges(at, k, n)]
+    assert np.array_equal(np.concatenate([x for _, x, _ in sent]), k) and np.array_equal(np.concatenate([x for _, _, x in sent]), n)
+    assert all(p == np.searchsorted(at, y, side="right") for p, x, _ in sent for y in x)
+
+
+def test_beginnings_are_hashed_by_their_bytes():
+    texts = ["stupid stupidity abc abcd", "abcdef", "überaus ab", "x"]
+    w = Words(*buffers(pa.array(texts)), ALNUM)
+    got, m = [x.tolist() for x in terms(w)], 1 << 64
+    for i, x in enumerate(y.encode() for t in texts for y in t.split()):
+        for k, h in zip(toxicity.HEADS, got[1:]):
+            total = sum(c * pow(int(toxicity._P), j, m) for j, c in enumerate(x[:k])) + 1000 + k
+            assert h[i] == (int(toxicity.mix(np.array([total % m], np.uint64))[0]) if len(x) > k else 0)
