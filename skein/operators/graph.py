@@ -272,8 +272,8 @@ def _kahn(g: dict) -> list:
     return out + [n for n in g if n not in done]
 
 
-def _depth(g: dict, n) -> int:
-    """Depth-first with visits shared by the whole walk."""
+def _depth(g: dict, n, settled: dict | tuple = ()) -> int:
+    """Depth-first with visits shared by the whole walk; settled: depths of nodes no part of whose reach is entered but through them."""
     seen = {n}
     todo, best = [(n, iter(g[n]), [0])], 0
     while todo:
@@ -283,6 +283,9 @@ def _depth(g: dict, n) -> int:
                 top[0] = max(top[0], 1)  # the link counts, the node is not walked again
                 continue
             seen.add(d)
+            if d in settled:
+                top[0] = max(top[0], 1 + settled[d])
+                continue
             todo.append((d, iter(g[d]), [0]))
             break
         else:
@@ -293,6 +296,23 @@ def _depth(g: dict, n) -> int:
     return best
 
 
+def _depths(g: dict) -> dict:
+    """_depth() of each node, trees settled from the ends upwards: only nodes that reach a cycle, or a node of several parents, are walked each for itself."""
+    left, parents, settled = {n: len(ds) for n, ds in g.items()}, {n: [] for n in g}, {}
+    for n, ds in g.items():
+        for d in ds:
+            parents[d].append(n)
+    todo = [n for n in g if not left[n]]
+    for n in todo:
+        settled[n] = max((1 + settled[d] for d in g[n]), default=0)
+        if len(parents[n]) == 1:  # one of several parents keeps all of them open
+            p = parents[n][0]
+            left[p] -= 1
+            if not left[p]:
+                todo.append(p)
+    return {n: settled[n] if n in settled else _depth(g, n, settled) for n in g}
+
+
 def _call_depths(g: dict) -> dict:
     """Longest way from each node without a node twice; a link back to the way counts as one step.
 
@@ -360,7 +380,7 @@ def topological_order(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
 
 
 def dependency_layers(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
-    return _per_graph(edges, graph, lambda g: [(n, _depth(g, n)) for n in g], "node string, depth int")
+    return _per_graph(edges, graph, lambda g: list(_depths(g).items()), "node string, depth int")
 
 
 def call_depths(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
