@@ -23,7 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_embedding(text: Column, dimension: int = 1536) -> Column:
     """A stand-in for a model: bytes of sha256 over and over, scaled to [-1, 1], of unit length."""
-    h = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substr(h, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-    n = norm(raw)
-    return F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(x))
+    one = lambda value, fn: F.element_at(F.transform(F.array(value), fn), 1)  # noqa: E731  (value is worked out once, not for each number)
+    raw = one(F.sha2(text, 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substr(h, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1))
+    pair = one(raw, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return one(pair, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x)))

@@ -1,8 +1,8 @@
 """Chunks of code, embeddings, and hybrid retrieval.
 
 Searches take a stated table of queries(query_id, text); chunks are the large side and never
-move: queries are sent to them in blocks of a checked size, scores are cut to the first
-k within each partition of the work before they meet.
+move: queries are sent to them in blocks of a checked size, scores (ranking.py) are cut to
+the first k within each task before they meet.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import keywords, truncate
-from skein.functions.vectors import cosine, hash_embedding
+from skein.functions.vectors import hash_embedding
+from skein.operators import ranking
 
 MANY_QUERIES = 10_000
 
@@ -66,7 +67,7 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     """The stated queries in blocks of about MANY_QUERIES, each to be sent to the chunks."""
     n = queries.count()
     many = max(1, -(-n // MANY_QUERIES))
-    return [F.broadcast(queries if many == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k)) for k in range(many)]
+    return [queries if many == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k) for k in range(many)]
 
 
 def _over(queries: DataFrame, fn) -> DataFrame:
@@ -74,21 +75,21 @@ def _over(queries: DataFrame, fn) -> DataFrame:
     return reduce(DataFrame.unionByName, map(fn, _blocks(queries)))
 
 
-def _first(scored: DataFrame, k: int, order: list) -> DataFrame:
-    """The first k of each query: first within 64 parts of the chunks, then among those."""
-    part = Window.partitionBy("query_id", "part").orderBy(*order)
-    some = scored.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("part")
+def _first(scored: DataFrame, k: int) -> DataFrame:
+    """The first k of each query among those of all tasks."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def semantic(chunks_: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
     """query_id, chunk_id, score, rank. chunks_: chunk_id, embedding; queries: query_id, embedding."""
-    q = queries.select("query_id", F.col("embedding").alias("qv"))
-    s = _over(q, lambda q: chunks_.select("chunk_id", "embedding").crossJoin(q)).select("query_id", "chunk_id", cosine(F.col("embedding").cast("array<double>"), F.col("qv").cast("array<double>")).alias("score"))
-    return _first(s, k, [F.desc("score"), "chunk_id"]).where(F.col("score") >= threshold)
+    q = queries.select("query_id", F.col("embedding").cast("array<double>"))
+    c = chunks_.select("chunk_id", F.col("embedding").cast("array<double>"))
+    return _first(_over(q, lambda q: ranking.best(c, q, k, ranking.Cosines)), k).where(F.col("score") >= threshold)
 
 
 def keyword_score(content: Column, terms: Column) -> Column:
+    """What keyword() ranks by, for one text and one list of terms."""
     low = F.lower(content)
     n = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t))
     total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(low.contains(t), (1 + n(t)) / (1 + F.size(terms))).otherwise(0.0))
@@ -98,8 +99,8 @@ def keyword_score(content: Column, terms: Column) -> Column:
 def keyword(chunks_: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, chunk_id, score (at most 1), rank. queries: query_id, text."""
     q = queries.select("query_id", keywords(F.col("text")).alias("terms"))
-    s = _over(q, lambda q: chunks_.select("chunk_id", "content").crossJoin(q)).select("query_id", "chunk_id", keyword_score(F.col("content"), F.col("terms")).alias("score")).where("score > 0")
-    return _first(s, k, [F.desc("score"), "chunk_id"]).withColumn("score", F.least(F.lit(1.0), "score"))
+    c = chunks_.select("chunk_id", F.lower("content").alias("low"))
+    return _first(_over(q, lambda q: ranking.best(c, q, k, ranking.by_keywords)), k).withColumn("score", F.least(F.lit(1.0), "score"))
 
 
 def inverted_index(chunks_: DataFrame) -> DataFrame:
