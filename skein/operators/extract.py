@@ -16,7 +16,8 @@ from skein.runtime import ready
 from skein.sources import pysource
 
 
-def _rows(sources: DataFrame, fn, schema: str, many: bool = False) -> DataFrame:
+def _rows(sources: DataFrame, fn, schema: str, many: bool = False, own=None) -> DataFrame:
+    """fn(path, text) for each row. own: column -> function of the path, for all columns that depend on the path; then texts that occur often in a batch are parsed once for it."""
     ready(sources.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -26,14 +27,33 @@ def _rows(sources: DataFrame, fn, schema: str, many: bool = False) -> DataFrame:
 
     def run(it):
         for b in it:
-            paths, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(paths), 200):  # bounded output batches
-                got = [fn(p, t) for p, t in zip(paths[k : k + 200], texts[k : k + 200])]
+            lo = 0
+            while lo < b.num_rows:
+                part = b.slice(lo, SHARED)
+                if part.nbytes > SHARED_BYTES:
+                    part = b.slice(lo, 200)
+                if own and part.num_rows > 2:
+                    code = part.column(1).dictionary_encode(null_encoding="encode")
+                    if 2 * len(code.dictionary) <= part.num_rows:
+                        one = pa.RecordBatch.from_pylist([fn(None, t) for t in code.dictionary.to_pylist()], schema=arrow).take(code.indices)
+                        paths = part.column(0).to_pylist()
+                        cols = [pa.array(map(own[f.name], paths), f.type) if f.name in own else one.column(f.name) for f in arrow]
+                        yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                        lo += part.num_rows
+                        continue
+                part = b.slice(lo, 200)  # bounded output batches
+                got = [fn(p, t) for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_pylist([x for g in got for x in g] if many else got, schema=arrow)
+                lo += part.num_rows
 
     return sources.select("file_path", "content").mapInArrow(run, kind)
 
 
+SHARED, SHARED_BYTES = 2000, 256 << 10  # rows, and bytes of paths and texts, in which equal texts are looked for
+PATH = {"file_path": lambda p: p}
+NAMED = PATH | {"name": pysource.stem}
+
+
 PARSERS = {".py": pysource.entities, ".pyw": pysource.entities}
 
 
@@ -47,23 +67,37 @@ def entities(sources: DataFrame, parsers: dict | None = None, light: bool = Fals
     other extensions, and text without one, are read as Python.
     """
     if light and not parsers:
-        return _rows(sources, lambda p, t: pysource.entities(p, t, True), pysource.ENTITIES)
+        return _rows(sources, lambda p, t: pysource.entities(p, t, True), pysource.ENTITIES, own=NAMED)
     known = PARSERS | (parsers or {})
+    if set(known.values()) == {pysource.entities}:
+        return _rows(sources, pysource.entities, pysource.ENTITIES, own=NAMED)
     return _rows(sources, lambda p, t: known.get("." + (p or "").rpartition(".")[2], pysource.entities)(p, t), pysource.ENTITIES)
 
 
+def calls(sources: DataFrame) -> DataFrame:
+    """Of callables() what questions about calls need: file_path, class_name, class_depth, name, start_line, calls."""
+    c = _rows(sources, pysource.calls, pysource.CALLS, own=PATH)
+    return c.select("file_path", F.explode("callables").alias("x")).select("file_path", "x.*")
+
+
+def found_nodes(sources: DataFrame) -> DataFrame:
+    """Rows of ast_nodes() that have a rule, with file_path, kind, line, rule and detail only: no other node leaves the parser."""
+    n = _rows(sources, pysource.found, pysource.FOUND, own=PATH)
+    return n.select("file_path", F.explode("nodes").alias("n")).select("file_path", "n.*")
+
+
 def ast_nodes(sources: DataFrame) -> DataFrame:
-    n = _rows(sources, pysource.nodes, pysource.NODES)
+    n = _rows(sources, pysource.nodes, pysource.NODES, own=PATH)
     return n.select("file_path", "error", F.explode_outer("nodes").alias("n")).select("file_path", "error", "n.*")
 
 
 def file_numbers(sources: DataFrame) -> DataFrame:
     """One row per file with every count that metrics need, from one parse; nothing is shuffled."""
-    return _rows(sources, pysource.numbers, pysource.NUMBERS)
+    return _rows(sources, pysource.numbers, pysource.NUMBERS, own=PATH)
 
 
 def line_counts(sources: DataFrame) -> DataFrame:
-    return _rows(sources, pysource.tokens, pysource.TOKENS)
+    return _rows(sources, pysource.tokens, pysource.TOKENS, own=PATH)
 
 
 def code_blocks(sources: DataFrame, least: int = 5) -> DataFrame:

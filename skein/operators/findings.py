@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.runtime import table
+
 TYPES = r"\b([A-Z][a-zA-Z0-9_]*)\b"
 
 
@@ -46,6 +48,7 @@ def duplicate_members(blocks: DataFrame) -> DataFrame:
 
     Overlaps are settled within a file, and sizes counted with partial aggregation, so no group of copies is gathered.
     """
+    blocks = table(blocks, "blocks")  # it is read more than once, and made by parsing
     many = blocks.groupBy("hash").count().where("count > 1").select("hash")
     member = F.struct("start_line", "end_line", "name")
     own = blocks.join(many, "hash", "left_semi").groupBy("hash", "file_path").agg(F.sort_array(F.collect_list(member)).alias("all"))  # bounded by the file
@@ -72,13 +75,13 @@ CALL_RULES = [
 
 
 def call_vulnerabilities(callables: DataFrame) -> DataFrame:
-    """file_path, entity, call, kind, severity, cwe, line: calls of known names, and of anything named like a weak hash."""
-    spark = callables.sparkSession
-    rules = spark.createDataFrame(CALL_RULES, "call string, kind string, severity string, cwe string")
+    """file_path, entity, call, kind, severity, cwe, line: calls of known names, and of anything named like a weak hash. callables is gone through once."""
     c = callables.where("coalesce(class_depth, 0) = 0").select("file_path", F.concat_ws(".", "class_name", "name").alias("entity"), F.col("start_line").alias("line"), F.explode("calls").alias("call"))
-    known = c.join(F.broadcast(rules), "call")  # twelve rows
-    weak = c.where(F.lower("call").contains("md5") | F.lower("call").contains("sha1")).select("*", F.lit("insecure_hash").alias("kind"), F.lit("medium").alias("severity"), F.lit("CWE-328").alias("cwe"))
-    return known.select("file_path", "entity", "call", "kind", "severity", "cwe", "line").unionByName(weak.select("file_path", "entity", "call", "kind", "severity", "cwe", "line"))
+    rule = lambda *r: F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("kind", "severity", "cwe"))))
+    known = F.try_element_at(F.create_map(*(x for call, *r in CALL_RULES for x in (F.lit(call), rule(*r)))), F.col("call"))
+    weak = F.when(F.lower("call").contains("md5") | F.lower("call").contains("sha1"), rule("insecure_hash", "medium", "CWE-328"))
+    d = c.withColumn("r", F.explode(F.filter(F.array(known, weak), lambda r: r.isNotNull())))
+    return d.select("file_path", "entity", "call", "r.kind", "r.severity", "r.cwe", "line")
 
 
 NODE_RULES = {"code_injection": ("high", "CWE-95"), "sql_injection": ("critical", "CWE-89"), "shell_true": ("high", "CWE-78"), "unsafe_pickle": ("high", "CWE-502"), "unsafe_yaml": ("high", "CWE-502")}

@@ -160,7 +160,7 @@ def _(s):
        ("try:\n    x()\nexcept:\n    y()\n", [("bare_except", 3, "")]),
        ("try:\n    x()\nexcept:\n    pass\n", [("empty_except", 3, ""), ("bare_except", 3, "")]))
 def _(s):
-    return patterns.node_smells(extract.ast_nodes(s))
+    return patterns.node_smells(extract.found_nodes(s))
 
 
 @cases("l10_commented_code", "line snippet",
@@ -181,7 +181,7 @@ def _(s):
        ("def f(x):\n    for a in x:\n        return a\n        z = 1\n", [("unreachable_code", "Assign", 4)]))
 def _(s):
     p = extract.entities(s)
-    return findings.dead_code(p, extract.imports(p), extract.callables(p), extract.ast_nodes(s))
+    return findings.dead_code(p, extract.imports(p), extract.callables(p), extract.found_nodes(s))
 
 
 @cases("v5_v9_more_vulnerabilities", "kind severity cwe line",
@@ -192,7 +192,7 @@ def _(s):
        ("yaml.load(x)\nyaml.load(x, Loader=L)\n", [("unsafe_yaml", "high", "CWE-502", 1)]),
        ("x = eval(y)\nexec(z)\n", [("code_injection", "high", "CWE-95", 1), ("code_injection", "high", "CWE-95", 2)]))
 def _(s):
-    return findings.node_vulnerabilities(extract.ast_nodes(s))
+    return findings.node_vulnerabilities(extract.found_nodes(s))
 
 
 @cases("v1_v4_call_rules", "entity call kind severity cwe",
@@ -201,7 +201,7 @@ def _(s):
        ("class K:\n    def m(self):\n        random.random()\n        random.randint(1, 2)\n", [("K.m", "random.random", "insecure_random", "low", "CWE-330"), ("K.m", "random.randint", "insecure_random", "low", "CWE-330")]),
        ("def f():\n    hashlib.sha1(x)\n    my_MD5(y)\n", [("f", "hashlib.sha1", "insecure_hash", "medium", "CWE-328"), ("f", "my_MD5", "insecure_hash", "medium", "CWE-328")]))
 def _(s):
-    return findings.call_vulnerabilities(extract.callables(extract.entities(s, light=True)))
+    return findings.call_vulnerabilities(extract.calls(s))
 
 
 @cases("v11_sql_text", "line snippet",

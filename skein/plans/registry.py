@@ -173,7 +173,7 @@ def _(spark, sf):
     UNION ALL SELECT c_custkey, 'bare_except', 3 FROM customer WHERE c_custkey % 6 = 4
     UNION ALL SELECT c_custkey, 'magic_number', 3 FROM customer WHERE c_custkey % 6 = 5""")
 def _(spark, sf):
-    return patterns.node_smells(extract.ast_nodes(synth.customer_notes(spark, sf))).select(_key("file_key"), "kind", F.col("line").cast("long").alias("line"))
+    return patterns.node_smells(extract.found_nodes(synth.customer_notes(spark, sf))).select(_key("file_key"), "kind", F.col("line").cast("long").alias("line"))
 
 
 # dead code, duplicates, security
@@ -183,7 +183,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = synth.customer_notes(spark, sf)
     p = extract.entities(s)
-    d = findings.dead_code(p, extract.imports(p), extract.callables(p), extract.ast_nodes(s))
+    d = findings.dead_code(p, extract.imports(p), extract.callables(p), extract.found_nodes(s))
     return d.select(_key("file_key"), "kind", "name", F.col("line").cast("long").alias("line"), "confidence")
 
 
@@ -209,14 +209,14 @@ def _(spark, sf):
            CASE o_orderkey % 8 WHEN 1 THEN 'critical' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'medium' ELSE 'high' END AS severity
     FROM orders WHERE o_orderkey % 8 NOT IN (5, 7)""")
 def _(spark, sf):
-    c = extract.callables(extract.entities(synth.order_calls(spark, sf), light=True))
+    c = extract.calls(synth.order_calls(spark, sf))
     return findings.call_vulnerabilities(c).select(_key("file_key"), "call", "cwe", "severity")
 
 
 @query("v5_v9_node_vulnerabilities", """
     SELECT o_orderkey AS file_key, CASE WHEN o_orderkey % 8 = 7 THEN 'unsafe_yaml' ELSE 'code_injection' END AS kind, 'high' AS severity, CAST(2 AS BIGINT) AS line FROM orders WHERE o_orderkey % 8 IN (0, 6, 7)""")
 def _(spark, sf):
-    d = findings.node_vulnerabilities(extract.ast_nodes(synth.order_calls(spark, sf)))
+    d = findings.node_vulnerabilities(extract.found_nodes(synth.order_calls(spark, sf)))
     return d.select(_key("file_key"), "kind", "severity", F.col("line").cast("long").alias("line"))
 
 
